@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ballhash, divergence, langid, lattice, mixing, viterbi
+from . import ballhash, divergence, hmm, hnsw, langid, lattice, license_index, mixing, site_templates, viterbi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(_table(spark, sf_dir, "documents"))
 
 
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ballhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -27,10 +35,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_table(spark, sf_dir, "documents"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.segmentation_digests(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +63,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_embedding_hnsw": op1_embedding_hnsw,
         "op2_quality_divergence": op2_quality_divergence,
+        "op3_site_templates": op3_site_templates,
         "op4_simhash_ball": op4_simhash_ball,
         "op5_token_counts": op5_token_counts,
+        "op6_license_scan": op6_license_scan,
         "op7_language_id": op7_language_id,
+        "op8_hidden_markov": op8_hidden_markov,
         "op9_sampled_pieces": op9_sampled_pieces,
         "op10_mixing": op10_mixing,
         "pipeline": pipeline,
