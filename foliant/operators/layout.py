@@ -151,18 +151,22 @@ def islands(rows: DataFrame, by: list[str], order: list[str], breaks: Column, ou
 
 
 def continue_paragraphs(body: DataFrame, order: str = "position") -> DataFrame:
-    """WN09: a block continues the paragraph before it when grammar and geometry agree.
+    """WN09: a visible body block continues the paragraph before it when grammar and geometry agree.
 
-    The earlier block must not end a sentence, the later one must start in lower case, and they must be in
-    one column of the page or go from the foot of one column or page to the head of the next.
+    Grammar: it starts in lower case, or the earlier block does not end a sentence.  Geometry: the first body
+    block of another page, or close below in the same column, or from the foot of the left column to the
+    upper part of the right one.  A heading in between (another section) always breaks.
     """
     w = W.partitionBy("doc_id").orderBy(order)
     lag = lambda c: F.lag(c).over(w)
-    open_ = ~lag("text").rlike(r"[.!?:;]['\"’”)\]]*\s*$") & F.col("text").rlike(r"^\s*[\p{Ll}(,;]")
-    same_page = (lag("page") == F.col("page")) & (F.abs(lag("bbox_norm.x0") - F.col("bbox_norm.x0")) < 0.05)
-    near = same_page & ((F.col("bbox_norm.y0") - lag("bbox_norm.y1")).between(-0.01, 0.05))
-    turn = (lag("bbox_norm.y1") > 0.8) & (F.col("bbox_norm.y0") < 0.25) & (F.col("page") - lag("page")).between(0, 1)
-    breaks = ~(open_ & (near | turn) & (lag("role") == F.col("role")) & lag("section_id").eqNullSafe(F.col("section_id")))
+    x0, y0 = F.col("bbox_norm.x0"), F.col("bbox_norm.y0")
+    grammar = F.col("text").rlike(r"^\s*\p{Ll}") | ~lag("text").rlike(r"[.!?;:)\]}”’]\s*$")
+    first_of_page = F.row_number().over(W.partitionBy("doc_id", "page").orderBy(order)) == 1
+    same_page = lag("page") == F.col("page")
+    below = same_page & (F.abs(lag("bbox_norm.x0") - x0) < 0.03) & (lag("bbox_norm.y1") <= y0) & (y0 - lag("bbox_norm.y1") < 0.025)
+    column = same_page & (lag("bbox_norm.x0") < 0.5) & (x0 >= 0.5) & (lag("bbox_norm.y1") >= 0.82) & (y0 <= 0.72)
+    geometry = (~same_page & first_of_page) | below | column
+    breaks = ~(grammar & geometry & lag("section_id").eqNullSafe(F.col("section_id")))
     return islands(body, ["doc_id"], [order], breaks, "paragraph")
 
 
