@@ -95,7 +95,8 @@ def tail(text: Column, most: int, notice: str = "[truncated] ") -> Column:
 def stage_rollup(stages: DataFrame, run: str, start: str, end: str) -> DataFrame:
     """AG14, SNK02: first start, last end and seconds to three places (half even)."""
     out = stages.groupBy(run).agg(F.min(start).alias("started_at"), F.max(end).alias("ended_at"), F.count("*").alias("stages"))
-    seconds = F.bround((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1e6, 3)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = F.bround((micros("ended_at") - micros("started_at")) / 1e6, 3)
     return out.withColumn("seconds", seconds)
 
 

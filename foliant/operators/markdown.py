@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import anchor_id, code_fence, escape_markdown, is_blank, is_safe_asset_path, is_safe_display_math, preferred_text
 
@@ -121,7 +122,7 @@ def prune_anchors(blocks: DataFrame, links: DataFrame) -> DataFrame:
 _URL = re.compile(r"https?://[^\s<>\"']+", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def with_external_links(text: pd.Series) -> pd.Series:
     """FN35: addresses become links; trailing punctuation and unmatched closing brackets stay outside."""
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.contracts import page_origin_problem
 
@@ -35,7 +36,7 @@ def json_documents(texts: DataFrame, value: str, schema: str) -> DataFrame:
     return texts.withColumn("document", F.from_json(value, schema, {"mode": "PERMISSIVE"}))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strict_json_problem(text: pd.Series) -> pd.Series:
     """SRC15: duplicate_key, non_finite or unreadable; null for sound JSON."""
 
