@@ -218,7 +218,7 @@ def word_distance(refs: list[dict], words: Column, n_words: Column) -> Column:
         return F.aggregate(found, start, add, finish)
 
     each = lambda found: F.array_min(F.array(*[distance(r, found) for r in refs]))
-    return F.when(F.size(kept) == 0, F.lit(1.0)).otherwise(let(runs, each))
+    return let(runs, each)
 
 
 def with_quality(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
