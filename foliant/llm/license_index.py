@@ -143,7 +143,10 @@ def scan(docs: DataFrame) -> DataFrame:
     n_docs, found = document_shares(docs.select("text"), vocabulary)
     index = index_of(n_docs, found)
     anchors = {p: max(range(len(p.split())), key=lambda k: (p.split()[k] in ("license", "cc"), -k)) for p, _ in BASE}
-    wanted = sorted({*index, *(p.split()[k] for p, k in anchors.items())})
+    phrases = [m.split() for _, m, _ in TEMPLATES]
+    # a mandatory phrase is looked for at the word that the fewest documents have
+    keys = [min(range(len(m)), key=lambda k: (found.get(m[k], 0), k)) for m in phrases]
+    wanted = sorted({*index, *(p.split()[k] for p, k in anchors.items()), *(m[k] for m, k in zip(phrases, keys, strict=True))})
 
     own = docs.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", words_of_file(docs["text"]).alias("words")
@@ -154,16 +157,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.flatten(F.array(*[
         _base_places(words, hits, p.split(), anchors[p], label) for p, label in BASE
     ]))
-    phrases = [m.split() for _, m, _ in TEMPLATES]
-    # a phrase is looked for at its rarest word that is in the index
-    keys = []
-    for m in phrases:
-        inside = [k for k, w in enumerate(m) if w in index] or [None]
-        keys.append(max(inside, key=lambda k: -1 if k is None else index[m[k]][0]))
-    has = [
-        F.lit(False) if k is None else F.size(_base_places(words, hits, m, k, "")) > 0
-        for m, k in zip(phrases, keys, strict=True)
-    ]
+    has = [F.size(_base_places(words, hits, m, k, "")) > 0 for m, k in zip(phrases, keys, strict=True)]
     idf = F.create_map(*[x for w, (v, _) in index.items() for x in (F.lit(w), F.lit(v))])
     postings = F.create_map(*[
         x for w, (_, ps) in index.items()
