@@ -116,16 +116,16 @@ def has_class(name: str) -> Column:
 
 def below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """TR02: nodes strictly inside any of the tops."""
-    t = tops.select("doc_id", F.col("pre").alias("__a"), F.col("post").alias("__b"))
-    on = (nodes["doc_id"] == t["doc_id"]) & (nodes["pre"] > t["__a"]) & (nodes["post"] <= t["__b"])
+    t = tops.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__a"), F.col("post").alias("__b"))
+    on = (nodes["doc_id"] == t["__d"]) & (nodes["pre"] > t["__a"]) & (nodes["post"] <= t["__b"])
     return nodes.join(t, on, "left_semi")
 
 
 def not_below(nodes: DataFrame, tops: DataFrame, strict: bool = False) -> DataFrame:
     """TR02: nodes outside all of the tops (with ``strict`` the tops themselves stay)."""
-    t = tops.select("doc_id", F.col("pre").alias("__a"), F.col("post").alias("__b"))
+    t = tops.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__a"), F.col("post").alias("__b"))
     inside = (nodes["pre"] > t["__a"]) if strict else (nodes["pre"] >= t["__a"])
-    return nodes.join(t, (nodes["doc_id"] == t["doc_id"]) & inside & (nodes["post"] <= t["__b"]), "left_anti")
+    return nodes.join(t, (nodes["doc_id"] == t["__d"]) & inside & (nodes["post"] <= t["__b"]), "left_anti")
 
 
 def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: list[str] | None = None) -> DataFrame:

@@ -128,9 +128,9 @@ def carry_section(assignments: DataFrame, order: str = "position") -> DataFrame:
 
 def section_parents(sections: DataFrame, order: str = "position") -> DataFrame:
     """WN06: the nearest earlier section of a lower level; references never parent later sections."""
-    s = sections.select("doc_id", F.col(order).alias("__at"), F.col("section_id").alias("__id"), F.col("level").alias("__l"), F.col("title").alias("__t"))
+    s = sections.select(F.col("doc_id").alias("__d"), F.col(order).alias("__at"), F.col("section_id").alias("__id"), F.col("level").alias("__l"), F.col("title").alias("__t"))
     s = s.where(~F.lower(F.trim("__t")).rlike(r"^(?:\d+[.)]?\s*)?(?:references|bibliography)$"))
-    pairs = sections.join(s, (sections["doc_id"] == s["doc_id"]) & (s["__at"] < sections[order]) & (s["__l"] < sections["level"]), "left")
+    pairs = sections.join(s, (sections["doc_id"] == s["__d"]) & (s["__at"] < sections[order]) & (s["__l"] < sections["level"]), "left")
     return pairs.groupBy(*[sections[c] for c in sections.columns]).agg(F.max_by("__id", "__at").alias("parent_section_id"))
 
 
@@ -244,8 +244,8 @@ def visual_candidates(drawings: DataFrame, images: DataFrame) -> DataFrame:
     """FLT13: drawings of 0.1 % of the page; images of 0.8 % that no drawing covers by 80 %."""
     d = drawings.where(G.area(F.col("bbox_norm")) >= 0.001)
     i = images.where(G.area(F.col("bbox_norm")) >= 0.008)
-    over = d.select("doc_id", "page", F.col("bbox_norm").alias("__d"))
-    test = (i["doc_id"] == over["doc_id"]) & (i["page"] == over["page"]) & (G.overlap_ratio(i["bbox_norm"], over["__d"]) >= 0.8)
+    over = d.select(F.col("doc_id").alias("__doc"), F.col("page").alias("__page"), F.col("bbox_norm").alias("__d"))
+    test = (i["doc_id"] == over["__doc"]) & (i["page"] == over["__page"]) & (G.overlap_ratio(i["bbox_norm"], over["__d"]) >= 0.8)
     return d.unionByName(i.join(over, test, "left_anti"), allowMissingColumns=True)
 
 

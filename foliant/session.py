@@ -11,7 +11,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]").appName("foliant")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

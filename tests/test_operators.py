@@ -168,6 +168,8 @@ def test_html(spark):
     assert rows(html.unit_nodes(n, "classes").where("doc_id = 'd'"), "kind", "source_text") == [("heading", "One"), ("paragraph", "See [1] and link [[PTX_0001]]."), ("title", "Doc")]
     t = html.tokenize_units(n, html.unit_nodes(n, "classes")).where("translation_source like '%See%'").first()
     assert t.translation_source == "See [[PTX_0002]] and [[PTX_0003]] [[PTX_0001]]." and t.placeholders == {"[[PTX_0002]]": "[1]", "[[PTX_0003]]": "link"}
+    two = html.parse_html(spark.createDataFrame([("a", "<article><p>in a</p></article>"), ("b", "<div><div><p>out</p></div></div>")], "doc_id string, html string"))
+    assert rows(html.unit_nodes(two), "doc_id", "source_text") == [("a", "in a")]
     clean = html.sanitize(n)
     assert clean.where("tag = 'script'").count() == 0 and clean.where("attrs['onclick'] is not null or attrs['style'] is not null").count() == 0
     assert clean.where("attrs['href'] like 'javascript%'").count() == 0
