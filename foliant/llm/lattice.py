@@ -2,8 +2,9 @@
 
 A text is cut where no piece can cross (before a run of spaces, around a line end); the lattice of a text is
 the chain of its chunks' lattices.  The forward sums of a chunk depend on its characters only, so they are
-computed once for all new chunks of a batch, position by position in numpy, and kept in a table of bounded
-size: for each position the pieces that end there, with the probability of taking each when walking back.
+computed for all new chunks of a batch at once, position by position in numpy: for each position the pieces
+that end there, with the probability of taking each when walking back.  Chunks that come again are kept in a
+table of bounded size; those seen for the first time are dropped after their batch.
 Backward sampling then walks all chunks of a batch at once; the uniform number of a step is a hash of
 (seed, row key, chunk number, step), so a row's segmentation depends on its key and text alone.
 
@@ -15,6 +16,7 @@ them as they are.  Characters that are no piece become their UTF-8 byte pieces,
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from .pieces import MODEL_PATH, Vocabulary, parse, read_model
 ALPHA = 1.0
 SEED = 7
 #: Chunks kept by a worker before its table starts afresh; chunks of a batch walked at once.
-TABLE_CHUNKS = 120_000
+TABLE_CHUNKS = 250_000
+#: Bits of the filter that tells chunks that came before.
+SEEN_BITS = 23
 WALK_CHUNKS = 100_000
 #: Longer chunks are filtered one by one, in logarithms, and not kept.
 SHORT = 48
@@ -69,10 +73,10 @@ class Table:
     def reset(self) -> None:
         self.end: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.first = np.zeros(1 << 16, np.int64)
+        self.first = np.zeros(1 << 16, np.int32)
         self.upto = np.zeros(1 << 17)
         self.piece = np.zeros(1 << 17, np.int32)
-        self.back = np.zeros(1 << 17, np.int64)
+        self.back = np.zeros(1 << 17, np.int32)
 
     def _append(self, first: np.ndarray, upto: np.ndarray, piece: np.ndarray, back: np.ndarray) -> None:
         def put(name: str, at: int, values: np.ndarray) -> None:
@@ -100,14 +104,16 @@ class Table:
 
     def _edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
         """start, end (positions in the joined text, no piece spans two chunks), piece; extra byte nodes."""
-        ends, pieces = [], []
-        offset = 0
-        for c in chunks:
-            for e, i in self.matches(c):
-                ends.append(offset + e + 1)
-                pieces.append(i)
-            offset += len(c)
-        end, piece = np.array(ends, np.int64), np.array(pieces, np.int64)
+        # a separator that is in no piece and no chunk keeps matches inside their chunk
+        if any("\0" in c for c in chunks):
+            found = [(e + 1 + o, i) for c, o in zip(chunks, np.cumsum([0, *map(len, chunks)]), strict=False) for e, i in self.matches(c)]
+            flat = np.array(found, np.int64).reshape(-1)
+        else:
+            flat = np.fromiter(chain.from_iterable(self.matches("\0".join(chunks))), np.int64)
+            # take the separators out of the positions again
+            lengths = np.array([len(c) + 1 for c in chunks])
+            flat[0::2] += 1 - np.repeat(np.arange(len(chunks)), lengths)[flat[0::2]]
+        end, piece = flat[0::2], flat[1::2]
         return end - self.length[piece], end, piece
 
     def _add(self, chunks: list[str], logs: bool) -> None:
@@ -161,9 +167,14 @@ class Table:
         order = np.lexsort((piece, -share, end))
         start, end, piece, share, from_start = (x[order] for x in (start, end, piece, share, from_start))
         first = np.searchsorted(end, np.arange(1, n + 1))
-        running = np.cumsum(share)
-        base = np.where(first > 0, running[first - 1], 0.0)
-        upto = running - base[end - 1]
+        # running sums edge by edge of each node, so that they do not depend on the other chunks
+        rank = np.arange(len(end)) - first[end - 1]
+        by_rank = np.argsort(rank, kind="stable")
+        upto = share.copy()
+        bounds = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max(initial=0)) + 2))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            e = by_rank[a:b]
+            upto[e] += upto[e - 1]
         last = np.append(first[1:], len(end)) - 1
         upto[last] = 2.0  # whatever rounding did: the last edge takes the rest
         back = np.where(from_start, -1, start - 1 + self.n_nodes)
@@ -192,7 +203,8 @@ class Table:
     def walk(self, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled pieces of the chunks that end at ``node``, in text order, and each chunk's number of them."""
         steps_who, steps_piece = [], []
-        who = np.arange(len(node))
+        who = np.argsort(node, kind="stable")  # equal chunks side by side: their rows stay in the cache
+        node = node[who]
         step = 0
         while len(who):
             draw = (_mix(key[who] + _steps(step + 1)) >> np.uint64(11)) * 2.0**-53
@@ -222,22 +234,31 @@ class Sampler:
         self.vocabulary = parse(model)
         self.table = Table(self.vocabulary, alpha, scores)
         self.seed = seed
+        self.mask = (1 << SEEN_BITS) - 1
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
 
     def _run(self, texts: list[list[str]], keys: list[int]) -> list[np.ndarray]:
         table = self.table
         every = [c for t in texts for c in t]
-        new = set(every).difference(table.end)
-        if len(table.end) + len(new) > TABLE_CHUNKS:
+        if len(table.end) > TABLE_CHUNKS:
             table.reset()
-            new = set(every)
-        if new:
-            table.add(sorted(new))
+        new = sorted(set(every).difference(table.end))
+        slot = np.fromiter((hash(c) & self.mask for c in new), np.int64, len(new))
+        again = self.seen[slot]
+        self.seen[slot] = True
+        table.add([c for c, k in zip(new, again, strict=True) if k])
+        mark = table.n_nodes, table.n_edges
+        once = [c for c, k in zip(new, again, strict=True) if not k]
+        table.add(once)
         node = np.fromiter(map(table.end.__getitem__, every), np.int64, len(every))
         sizes = np.array([len(t) for t in texts])
         number = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         own = _mix(np.array(keys, np.int64).view(np.uint64) + _steps(self.seed))
         key = _mix(np.repeat(own, sizes) ^ (number.astype(np.uint64) + np.uint64(1)) * _K[2])
         pieces, counts = table.walk(node, key)
+        for c in once:
+            del table.end[c]
+        table.n_nodes, table.n_edges = mark
         per_text = np.add.reduceat(np.append(counts, 0), np.minimum(np.cumsum(sizes) - sizes, len(counts)))
         per_text[sizes == 0] = 0
         return np.split(pieces, np.cumsum(per_text)[:-1])
@@ -296,8 +317,11 @@ def decode(ids: Column, spark, path: str = MODEL_PATH) -> Column:
 
     def run(rows: pa.Array) -> pa.Array:
         surfaces = _surfaces(model.value)
+        values, bounds = rows.values.to_numpy(), rows.offsets.to_numpy()
+        null = rows.is_null().to_pylist()
         return pa.array(
-            [None if r is None else decode_pieces(r, surfaces).decode("utf-8", "replace") for r in rows.to_pylist()],
+            (None if n else decode_pieces(values[a:b].tolist(), surfaces).decode("utf-8", "replace")
+             for n, a, b in zip(null, bounds, bounds[1:], strict=False)),
             pa.string(),
         )
 
