@@ -16,7 +16,6 @@ them as they are.  Characters that are no piece become their UTF-8 byte pieces,
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +49,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hash_of(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h ^ (ord(c) + 1)) * int(_K[1]) & (1 << 64) - 1
+        h ^= h >> 29
+    return h * int(_K[2]) & (1 << 64) - 1
+
+
 class Table:
     """The lattices of many chunks, flat.
 
@@ -65,7 +72,12 @@ class Table:
         self.length = np.zeros(vocabulary.size, np.int64)
         for surface, (i, s) in vocabulary.pieces.items():
             self.log_weight[i], self.length[i] = alpha * weigh(s), len(surface)
-        self.matches = vocabulary.automaton(lambda s, i, score: i).iter
+        self.longest = int(self.length.max())
+        hashes = np.array([_hash_of(p) for p in vocabulary.pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.ids = hashes[order], np.array([i for i, _ in vocabulary.pieces.values()], np.int64)[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.hashes >> np.uint64(44)] = True
         # a factor for every character changes no probability and keeps the sums in range
         self.per_char = -float(np.median(self.log_weight[self.length > 0])) / 3
         self.reset()
@@ -103,17 +115,29 @@ class Table:
                 self._add([c], True)
 
     def _edges(self, chunks: list[str]) -> tuple[np.ndarray, ...]:
-        """start, end (positions in the joined text, no piece spans two chunks), piece; extra byte nodes."""
-        # a separator that is in no piece and no chunk keeps matches inside their chunk
-        if any("\0" in c for c in chunks):
-            found = [(e + 1 + o, i) for c, o in zip(chunks, np.cumsum([0, *map(len, chunks)]), strict=False) for e, i in self.matches(c)]
-            flat = np.array(found, np.int64).reshape(-1)
-        else:
-            flat = np.fromiter(chain.from_iterable(self.matches("\0".join(chunks))), np.int64)
-            # take the separators out of the positions again
-            lengths = np.array([len(c) + 1 for c in chunks])
-            flat[0::2] += 1 - np.repeat(np.arange(len(chunks)), lengths)[flat[0::2]]
-        end, piece = flat[0::2], flat[1::2]
+        """start, end (positions in the joined text; no piece spans two chunks) and piece of all matches."""
+        # hashes of all substrings up to the longest piece, length by length, looked up in the sorted pieces'
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        lengths = np.array([len(c) for c in chunks])
+        at = np.arange(len(chars))
+        last = np.repeat(np.cumsum(lengths), lengths)
+        h = np.zeros(len(chars), np.uint64)
+        ends, pieces = [], []
+        for n in range(1, self.longest + 1):
+            on = at + n <= last
+            at, last, h = at[on], last[on], h[on]
+            if not len(at):
+                break
+            h = (h ^ chars[at + n - 1]) * _K[1]
+            h ^= h >> np.uint64(29)
+            maybe = np.flatnonzero(self.sieve[(h * _K[2]) >> np.uint64(44)])
+            key = h[maybe] * _K[2]
+            k = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
+            found = self.ids[k]
+            hit = (self.hashes[k] == key) & (self.length[found] == n)
+            ends.append(at[maybe[hit]] + n)
+            pieces.append(found[hit])
+        end, piece = np.concatenate([np.zeros(0, np.int64), *ends]), np.concatenate([np.zeros(0, np.int64), *pieces])
         return end - self.length[piece], end, piece
 
     def _add(self, chunks: list[str], logs: bool) -> None:
@@ -164,7 +188,9 @@ class Table:
                 flow = np.where(from_start[e], 1.0, sums[start[e]]) * factor[e]
                 np.add.at(sums, end[e], flow)
             share = np.where(from_start, 1.0, sums[start]) * factor / sums[end]
-        order = np.lexsort((piece, -share, end))
+        # by end, then falling share (to 2^-20, so that it is the same in every batch), then piece
+        rank = ((1 << 20) - np.rint(share * (1 << 20)).astype(np.int64)) << 20 | piece
+        order = np.lexsort((rank, end))
         start, end, piece, share, from_start = (x[order] for x in (start, end, piece, share, from_start))
         first = np.searchsorted(end, np.arange(1, n + 1))
         # running sums edge by edge of each node, so that they do not depend on the other chunks
