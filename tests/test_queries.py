@@ -1,6 +1,5 @@
 """Every core query against its SQL at the smallest scale; the entry points without the optional subpackage."""
 
-import math
 import os
 import subprocess
 import sys
@@ -16,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _rows(df):
-    show = lambda v: "NULL" if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "NULL" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
