@@ -253,4 +253,6 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
     slim = docs.select("text", "lang", F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    return with_quality(slim, references(docs)).where("kept").select("__row.*")
+    # a filter would be pushed below the projections and repeat their work for every use of a column
+    judged = materialise(with_quality(slim, references(docs)).select("__row", "kept"), "judged")
+    return judged.where("kept").select("__row.*")
