@@ -3,8 +3,8 @@
 Two histograms of a document are compared to language references by Jensen-Shannon distance (base 2, so
 between 0 and 1): classes of the characters of its words, and the most common words of the language with one
 bin for the rest.  The references are summed counts over all labelled documents; a document is held against
-each language's reference and the nearest counts, so a wrong label does no harm.  A histogram of a short
-document says little, so each comparison waits for a minimum length.
+each language's reference and the nearest counts.  Every labelled language has a reference, however small.
+A histogram of a short document says little, so each comparison waits for a minimum length.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = "[#*$%&|<>]"
 
 COMMON_WORDS = 40
-#: A language needs this share of the labelled words to be a reference (always fewer than 200 languages).
-LEAST_SHARE = 0.005
+#: References of up to this many languages are written into the plan; more of them are a table, in packs.
+IN_PLAN, PACK = 32, 64
 #: Classes of the characters of words, taken off one after the other; what is left is a class of its own.
 CLASSES = {
     "lower": "[a-z]+",
@@ -110,30 +110,32 @@ def with_classes(docs: DataFrame, solid: str, extra=lambda rest: {}) -> DataFram
     return out.drop(*[f"__{x}_{k}" for x in ("rest", "long") for k in range(n + 1)])
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> list[dict]:
+def references(docs: DataFrame, common_words: int = COMMON_WORDS, in_plan: int = IN_PLAN) -> list[dict] | DataFrame:
     """Per language: share of each character class, and of its most common words (as they are written).
 
-    One count of all words of all labelled documents gives both.  The driver gets a row a language and
-    ``common_words`` rows a language; languages under LEAST_SHARE of the words are left out.
+    One count of all words of all labelled documents gives both.  Up to ``in_plan`` languages the driver gets
+    a row a language and ``common_words`` rows a language; references of more languages stay a table.
     """
     words = docs.where("lang is not null and text is not null").select(
         "lang", F.explode(words_of(F.col("text"))).alias("word")
     )
     counts = materialise(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     n = len(CLASSES) + 1
-    sums = with_classes(counts, "word").groupBy("lang").agg(
+    table = materialise(with_classes(counts, "word").groupBy("lang").agg(
         F.sum("n").alias("n"), *[F.sum(F.get("__classes", F.lit(k)) * F.col("n")).alias(f"c{k}") for k in range(n)]
-    ).collect()
-    total = sum(r["n"] for r in sums)
-    sums = sorted((r for r in sums if r["n"] > LEAST_SHARE * total), key=lambda r: r["lang"])
+    ), "sums")
     # a limit by rank is applied before the exchange, so a task sees common_words rows of each map task
     by_count = W.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = (
-        counts.where(F.col("lang").isin([r["lang"] for r in sums]))
-        .withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words).collect()
-        if sums else []
-    )
+    common = counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= common_words)
+    sums = sorted(table.limit(in_plan + 1).collect(), key=lambda r: r["lang"])
+    if len(sums) > in_plan:
+        made = materialise(_reference_table(table, common, n), "references")
+        discard(counts)
+        discard(table)
+        return made
+    top = common.collect() if sums else []
     discard(counts)
+    discard(table)
     out = []
     for r in sums:
         chars = sum(r[f"c{k}"] for k in range(n))
@@ -146,6 +148,19 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> list[dict]:
     return out
 
 
+def _reference_table(sums: DataFrame, common: DataFrame, n: int) -> DataFrame:
+    """lang and r (q, e, words, known): a row a language."""
+    own = common.groupBy("lang").agg(F.collect_list(F.struct("word", F.col("n").alias("k"))).alias("own"))
+    counts = F.array(*[F.col(f"c{k}") for k in range(n)])
+    out = sums.join(own, "lang").withColumns({
+        "q": let(counts, lambda c: let(_total(c), lambda t: F.transform(c, lambda x: x / t))),
+        "words": F.map_from_entries(F.transform("own", lambda w: F.struct(w["word"], w["k"] / F.col("n")))),
+    })
+    return out.select("lang", F.struct(
+        "q", _total(F.transform("q", _x_log_x)).alias("e"), "words", _total(F.map_values("words")).alias("known")
+    ).alias("r"))
+
+
 def _x_log_x(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
@@ -172,6 +187,11 @@ def char_distance(refs: list[dict]) -> Column:
         )
         for r in refs
     ])
+    return _char_distance(known)
+
+
+def _char_distance(known: Column) -> Column:
+    """The least distance to an array of (q, e)."""
     shares = let(F.col("__classes"), lambda c: let(_total(c), lambda n: F.transform(c, lambda x: x / n)))
 
     def least(p: Column) -> Column:
@@ -200,28 +220,60 @@ def word_distance(refs: list[dict], words: Column, n_words: Column) -> Column:
         )),
     ))
 
-    def distance(r: dict, found: Column) -> Column:
-        shares = F.from_json(F.lit(json.dumps(r["words"])), "map<string,double>")
-        known = math.fsum(r["words"].values())
-        start = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-        bin_ = lambda p, q: _x_log_x(p) + _x_log_x(q) - 2 * _x_log_x((p + q) / 2)
+    each = lambda found: F.array_min(F.array(*[
+        _word_distance(F.from_json(F.lit(json.dumps(r["words"])), "map<string,double>"), F.lit(math.fsum(r["words"].values())), found)
+        for r in refs
+    ]))
+    return let(runs, each)
 
-        def add(a: Column, x: Column) -> Column:
-            return let(F.try_element_at(shares, x["w"]), lambda q: F.when(q.isNull(), a).otherwise(F.struct(
-                (a["js"] + bin_(x["p"], q)).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + q).alias("q")
-            )))
 
-        def finish(a: Column) -> Column:
-            absent = F.lit(known) - a["q"]  # a share q met by nothing adds q
-            return _root((a["js"] + absent + bin_(1 - a["p"], F.lit(1 - known))) / 2)
+def _word_distance(shares: Column, known: Column, found: Column) -> Column:
+    """Distance of found words (w, p) to a language's table of shares, which add up to ``known``."""
+    start = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    bin_ = lambda p, q: _x_log_x(p) + _x_log_x(q) - 2 * _x_log_x((p + q) / 2)
 
-        return F.aggregate(found, start, add, finish)
+    def add(a: Column, x: Column) -> Column:
+        return let(F.try_element_at(shares, x["w"]), lambda q: F.when(q.isNull(), a).otherwise(F.struct(
+            (a["js"] + bin_(x["p"], q)).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + q).alias("q")
+        )))
 
-    each = lambda found: F.array_min(F.array(*[distance(r, found) for r in refs]))
-    return let(runs, each)
+    def finish(a: Column) -> Column:
+        absent = known - a["q"]  # a share q met by nothing adds q
+        return _root((a["js"] + absent + bin_(1 - a["p"], 1 - known)) / 2)
+
+    return F.aggregate(found, start, add, finish)
 
 
-def with_quality(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
+def _with_distances(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds both distances to documents with base counts, by references in a table.
+
+    Histograms without texts meet packs of references; the planner broadcasts the packs or, where they are
+    too large, makes a partitioned product.
+    """
+    docs = materialise(docs.drop("__words").withColumn("__rid", F.monotonically_increasing_id()), "based")
+    packs = F.lit(max(1, math.ceil(refs.count() / PACK)))
+    packed = refs.groupBy(F.pmod(F.xxhash64("lang"), packs).alias("pack")).agg(F.collect_list("r").alias("__refs"))
+    common = refs.select(F.explode(F.map_keys("r.words")).alias("word")).distinct()
+    wordy, solid = F.col("n_words") >= MIN_COMPARED_WORDS, F.col("word_chars") >= MIN_CHARS
+    found = (
+        docs.where(wordy).select("__rid", "n_words", F.explode(words_of(F.col("text"))).alias("word"))
+        .groupBy("__rid", "n_words", "word").count().join(common, "word")
+        .groupBy("__rid").agg(F.collect_list(
+            F.struct(F.col("word").alias("w"), (F.col("count") / F.col("n_words")).alias("p"))
+        ).alias("__found"))
+    )
+    slim = docs.where(wordy | solid).select("__rid", "__classes", "n_words", "word_chars").join(found, "__rid", "left")
+    none = F.array().cast("array<struct<w:string,p:double>>")
+    words = let(F.coalesce("__found", none), lambda x: F.array_min(
+        F.transform("__refs", lambda r: _word_distance(r["words"], r["known"], x))
+    ))
+    least = slim.crossJoin(packed.select("__refs")).select(
+        "__rid", F.when(solid, _char_distance(F.col("__refs"))).alias("c"), F.when(wordy, words).alias("w")
+    ).groupBy("__rid").agg(F.min("c").alias("char_distance"), F.min("w").alias("word_distance"))
+    return docs.join(least, "__rid", "left").drop("__rid")
+
+
+def with_quality(docs: DataFrame, refs: list[dict] | DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, lang) plus the base counts, both distances and kept.
 
     Null and blank texts have no words and fail the base rules.  Distances are null for documents under the
@@ -229,12 +281,15 @@ def with_quality(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
     """
     refs = references(docs) if refs is None else refs
     out = with_base(docs)
-    out = out.withColumns({
-        "char_distance": F.when(F.col("word_chars") >= MIN_CHARS, char_distance(refs)),
-        "word_distance": F.when(
-            F.col("n_words") >= MIN_COMPARED_WORDS, word_distance(refs, F.col("__words"), F.col("n_words"))
-        ),
-    })
+    if isinstance(refs, DataFrame):
+        out = _with_distances(out, refs)
+    else:
+        out = out.withColumns({
+            "char_distance": F.when(F.col("word_chars") >= MIN_CHARS, char_distance(refs)),
+            "word_distance": F.when(
+                F.col("n_words") >= MIN_COMPARED_WORDS, word_distance(refs, F.col("__words"), F.col("n_words"))
+            ),
+        })
     fine = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(
         F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True)
     )

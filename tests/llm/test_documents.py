@@ -109,6 +109,23 @@ def test_quality_distances(spark):
         assert got[i].word_distance == pytest.approx(js(p, {**ref, "": 1 - math.fsum(ref.values())}), abs=1e-6)
 
 
+def test_a_small_language_keeps_its_clean_documents(spark):
+    small = "и в не на что он как это по но из за то все так его мы было она они".split()
+    rows = [(i, _text(i, 2000), "en") for i in range(40)] + [(100 + i, _text(900 + i, 100, small), "ru") for i in range(2)]
+    rows += [(200, _text(5, 70), None), (201, "short", "de"), (202, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in divergence.quality(df).collect()}
+    assert got[100].kept and got[101].kept and got[100].char_distance < 0.27
+    refs = divergence.references(df, in_plan=2)
+    assert [r["lang"] for r in divergence.references(df)] == ["de", "en", "ru"] and refs.count() == 3
+    by_table = divergence.with_quality(df, refs).collect()
+    assert len(by_table) == len(rows)
+    for r in by_table:
+        for c in ("char_distance", "word_distance"):
+            assert (r[c] is None) == (got[r.doc_id][c] is None) and r[c] == pytest.approx(got[r.doc_id][c], abs=1e-9)
+        assert r.kept == got[r.doc_id].kept
+
+
 def _print(text):
     w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     w = WORDS.findall(w)
