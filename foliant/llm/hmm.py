@@ -4,9 +4,8 @@ Symbols are the ``SYMBOLS`` most frequent training words, an end symbol, and suf
 words; within its class a word has its smoothed unigram share, so every word has a probability and no count
 is left out.  Baum-Welch trains the states: each partition runs scaled forward-backward over its documents
 and emits its expected counts, a native aggregate adds them, and the driver (which holds the model only,
-``STATES`` x symbols) divides.  A few rounds on a bounded sample (``WARM_DOCS`` documents) find a start;
-``ROUNDS`` rounds run over all training documents.  Scoring is the scaled forward recursion over each whole
-text, many texts at a time.
+``STATES`` x symbols) divides.  All ``ROUNDS`` rounds run over all training documents, which are read into
+symbols once.  Scoring is the scaled forward recursion over each whole text, many texts at a time.
 
 The vocabulary grows with the corpus and is never broadcast.  The ``FREQUENT`` most frequent words travel
 with the tasks; each other word of a document becomes a row (document, hash of the word, times) that meets
@@ -27,15 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise
+from .common import crc_mod, discard, materialise
 
 STATES = 8
 SYMBOLS = 16384
 CLASSES = 2048
 FREQUENT = 131072
-ROUNDS = 2
-WARM_ROUNDS = 6
-WARM_DOCS = 2000
+ROUNDS = 8
 PRIOR_COUNTS = 20.0
 SEED = 42
 #: Distinct words a counting task holds; tokens a training task holds, and of one forward-backward run;
@@ -215,9 +212,19 @@ def _opened(key: str, held) -> tuple[_Reader, Model | None]:
     return _open[key]
 
 
-def _expect(key: str, held):
+def _symbols(key: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = _opened(key, held)
+        reader, _ = _opened(key, held)
+        for batch in batches:
+            seqs = [reader.read(text)[0].tobytes() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary())], names=["seq"])
+
+    return run
+
+
+def _expect(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         k = len(model.start)
         start, move, emit, like = np.zeros(k), np.zeros((k, k)), np.zeros(model.emit.shape), 0.0
 
@@ -244,8 +251,8 @@ def _expect(key: str, held):
 
         texts, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                texts.append(reader.read(text)[0])
+            for seq in batch.column(0).to_pylist():
+                texts.append(np.frombuffer(seq, np.int32))
                 size += len(texts[-1])
                 if size > HELD_TOKENS:
                     flush(texts)
@@ -264,13 +271,13 @@ def _expect(key: str, held):
 
 
 def _round(texts: DataFrame, lex: Lexicon, model: Model) -> tuple[Model, float]:
-    """One Baum-Welch round over a DataFrame with one binary column."""
+    """One Baum-Welch round over a DataFrame with one binary column, the symbols of a text."""
     k, symbols = len(model.start), len(model.emit)
-    held = texts.sparkSession.sparkContext.broadcast((lex, model))
+    held = texts.sparkSession.sparkContext.broadcast(model)
     names = [f"s{s}" for s in range(k)]
     schema = "symbol long, " + ", ".join(f"{n} double" for n in names)
     rows = (
-        texts.mapInArrow(_expect(f"e{held._jbroadcast.id()}-{texts.sparkSession.sparkContext.applicationId}", held), schema)
+        texts.mapInArrow(_expect(held), schema)
         .groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # a row a symbol
     )
     held.unpersist()
@@ -390,13 +397,13 @@ def score_documents(
     lex, left_out = lexicon(counts, n_learn, symbols, frequent, classes)
     model = first_model(lex, states)
     if n_learn:
-        draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("warm")), 11) / F.lit(float(1 << 53))
-        warm = learn.where(draw < WARM_DOCS / n_learn).select("text")
-        warm = materialise(warm.repartition(max(1, spark.sparkContext.defaultParallelism)), "warm")
-        for _ in range(WARM_ROUNDS):
-            model, _like = _round(warm, lex, model)
+        held = spark.sparkContext.broadcast((lex, None))
+        key = f"e{held._jbroadcast.id()}-{spark.sparkContext.applicationId}"
+        seqs = materialise(learn.select("text").mapInArrow(_symbols(key, held), "seq binary"), "symbols")
+        held.unpersist()
         for _ in range(rounds):
-            model, _like = _round(learn.select("text"), lex, model)
+            model, _like = _round(seqs, lex, model)
+        discard(seqs)
     held = spark.sparkContext.broadcast((lex, model))
     key = f"s{held._jbroadcast.id()}-{spark.sparkContext.applicationId}"
     rows = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(

@@ -364,6 +364,23 @@ def test_forward_and_baum_welch_by_enumeration():
     assert start.sum() == pytest.approx(3) and move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
 
 
+def test_every_training_round_sees_all_training_documents(spark, monkeypatch):
+    rows = [(i, f"w{i % 50} x{i % 7} y{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    seen, likes, real = [], [], hmm._round
+
+    def spy(texts, lex, model):
+        seen.append(texts.count())
+        model, like = real(texts, lex, model)
+        likes.append(like)
+        return model, like
+
+    monkeypatch.setattr(hmm, "_round", spy)
+    assert hmm.score_documents(df).count() == len(rows)
+    assert seen == [train] * 8 and all(b > a - 1 for a, b in zip(likes, likes[1:], strict=False))
+
+
 def test_mix_targets():
     assert mixing.targets_of([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     assert mixing.targets_of([10, 100, 1000], [1, 2, 3]) == pytest.approx([30, 300, 780])
