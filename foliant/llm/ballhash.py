@@ -201,16 +201,21 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     ids are null; repeated rows come back as often as they came in.  Other columns are ignored.
     """
     own = materialise(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "prints")
+    of_print = _components(own, radius)
+    return own.join(of_print, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components(own: DataFrame, radius: int) -> DataFrame:
+    """fp, root, component_id: a row a fingerprint of ``own`` (doc_id, fp)."""
     prints = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(links_within(prints.select("fp"), radius)).toDF("fp", "root")
     placed = materialise(
         prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "placed"
     )
     ids = materialise(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
-    of_print = materialise(placed.join(ids, "root").select("fp", "component_id"), "component")
-    return own.join(of_print, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return materialise(placed.join(ids, "root").select("fp", "root", "component_id"), "component")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -218,8 +223,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of repeated rows with that id one stays; a component without any id keeps one row.
     """
-    found = simhash_components(docs, radius)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    heads = heads.withColumnRenamed("doc_id", "__head")
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["__head"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    own = materialise(with_fingerprint(docs, out="__fp"), "printed")
+    ids = own.select("doc_id", F.col("__fp").alias("fp"))
+    found = ids.join(_components(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    heads = found.groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("__head")).drop("root")
+    head = (own["__fp"] == heads["fp"]) & own["doc_id"].eqNullSafe(heads["__head"])
+    return own.join(heads, head, "left_semi").dropDuplicates(["__fp"]).drop("__fp")

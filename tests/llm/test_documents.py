@@ -162,6 +162,22 @@ def test_simhash_brute_force(docs):
     assert got == want
 
 
+def test_each_component_keeps_one_row_whatever_its_ids(spark):
+    a, b, c = (_text(k, 100) for k in (11, 12, 13))
+    rows = [(None, a), (None, a), (None, b), (5, b + " tail"), (7, c), (7, _text(14, 100)), (7, c), (9, c), (None, c), (None, _text(15, 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [_print(t) for _, t in rows]
+    group = _components(range(len(rows)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    parts = {}
+    for i, r in enumerate(rows):
+        parts.setdefault(group[i], []).append(r)
+    got = [tuple(r) for r in ballhash.keep_one(df).collect()]
+    assert len(got) == len(parts) >= 5
+    for own in parts.values():
+        least = min((i for i, _ in own if i is not None), default=None)
+        assert sum(r in own and r[0] == least for r in got) == 1
+
+
 def test_ball_hashing_links_all_pairs_within_radius(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, np.uint64)
