@@ -38,6 +38,7 @@ class Vocabulary:
             self.surfaces[i] = bytes([value])
         #: Pieces never cross these cuts: before a run of spaces, and around a line end.
         inner = any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces)
+        self.cuts = not inner
         self.cut = re.compile(r"(?s).+" if inner else r" +[^ \n]*|[^ \n]+|\n")
 
     def automaton(self, value) -> ahocorasick.Automaton:

@@ -282,14 +282,91 @@ def test_sampling_follows_the_lattice(word):
     assert chi < len(big) + 4 * math.sqrt(2 * len(big)) + 4
 
 
+def _points(words):
+    flat = np.array([ord(c) + 1 for w in words for c in w], np.uint64)
+    sizes = np.array([len(w) for w in words])
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
 def test_long_chunks_agree_with_short_ones():
     s = lattice.Sampler(pieces.read_model())
     word = "internationalization" * 2
-    s.table.add([" " + word])
-    short = s.table.upto[: s.table.n_edges].copy()
+    s.table.add(*_points([" " + word]))
+    short = s.table.share[: s.table.n_edges].copy()
     s.table.reset()
-    s.table._add([" " + word], True)
-    assert np.allclose(short, s.table.upto[: s.table.n_edges])
+    s.table._add(_points([" " + word])[0], np.array([41]), True)
+    assert np.allclose(short, s.table.share[: s.table.n_edges])
+
+
+def test_shares_are_forward_sums():
+    s = lattice.Sampler(pieces.read_model(), alpha=0.5)
+    voc, t = s.vocabulary, s.table
+    words = [" nation", "the", " ßen", "\n", " a", " 😀x", "x" * 60]
+    ends = t.add(*_points(words))
+    name = {i: p for p, (i, _) in voc.pieces.items()}
+    for word, end in zip(words, ends.tolist(), strict=True):
+        forward = [1.0]
+        options = []
+        for e in range(1, len(word) + 1):
+            own = {}
+            for a in range(max(0, e - t.longest), e):
+                if word[a:e] in voc.pieces:
+                    own[word[a:e]] = forward[a] * math.exp(t.log_weight[voc.pieces[word[a:e]][0]])
+                elif e - a == 1:
+                    own[word[a:e]] = forward[a] * math.exp(t.log_weight[voc.bytes_[0]])
+            forward.append(sum(own.values()))
+            options.append(own)
+        node, at = end, len(word)
+        while node >= 0:  # along the first edges back to the start
+            e, left, seen = int(t.first[node]), 1.0, []
+            while True:
+                seen.append((int(t.piece[e]), float(t.share[e])))
+                if seen[-1][1] > 1:
+                    break
+                left -= seen[-1][1]
+                e += 1
+            own = options[at - 1]
+            assert len(seen) == len(own)
+            for i, share in seen:
+                w = name.get(i, word[at - 1 : at])
+                assert (left if share > 1 else share) == pytest.approx(own[w] / forward[at], abs=1e-9)
+            first = name.get(seen[0][0])
+            node = int(t.back[t.first[node]])
+            at -= len(first) if first else 1
+            if first is None:  # a lone character: its other bytes come one by one
+                while node >= 0 and t.share[t.first[node]] > 1 and int(t.piece[t.first[node]]) in voc.bytes_[128:]:
+                    node = int(t.back[t.first[node]])
+        assert at == 0
+
+
+def test_runs_and_tables_change_no_piece(monkeypatch):
+    texts = [_text(k, 300) + " ünï 日本語 \n\n  x" + "q" * (k * 20) for k in range(12)] + [None, "", " ", "\n", " \n a  b"]
+    keys = list(range(len(texts)))
+    whole = [x.tolist() for x in lattice.Sampler(pieces.read_model()).encode(texts, keys)]
+    monkeypatch.setattr(lattice, "RUN_BYTES", 500)
+    monkeypatch.setattr(lattice, "TABLE_EDGES", 3000)
+    monkeypatch.setattr(lattice, "_TOGETHER", 3)
+    s = lattice.Sampler(pieces.read_model())
+    assert [x.tolist() for x in s.encode(texts, keys)] == whole
+    assert [x.tolist() for x in s.encode(texts[::-1], keys[::-1])] == whole[::-1]
+    counts = np.array([len(x) for x in whole])
+    flat = np.array([i for x in whole for i in x], np.int32)
+    assert [t.decode() for t in s.decode(flat, counts).to_pylist()] == [t or "" for t in texts]
+
+
+def test_chunk_table_keeps_and_finds():
+    t = lattice.Sampler(pieces.read_model()).table
+    h = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 5000, np.uint64))
+    h[:50] = np.arange(1, 51, dtype=np.uint64)  # all in one slot
+    t.keep(h[:4000], np.arange(4000))
+    assert t.lookup(h).tolist() == [*range(4000), *[-1] * (len(h) - 4000)]
+
+
+def test_decoding_and_other_columns(spark, docs):
+    found = lattice.with_pieces(docs)
+    assert found.columns == [*docs.columns, "piece_ids", "lossless"]
+    back = lattice.decode(found.select("doc_id", "text", "piece_ids", "lossless"), out="again").collect()
+    assert len(back) == len(_rows()) and all(r.lossless and r.again == (r.text or "") for r in back)
 
 
 def _licences(text):
