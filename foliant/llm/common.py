@@ -6,12 +6,15 @@ lineage are written to the folder that the cluster names in ``spark.checkpoint.d
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,24 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system, as workers stay between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (first, number) with at most ``most`` bytes of text each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    upto, a = np.cumsum(sizes, dtype=np.int64), 0
+    while a < len(sizes):
+        done = int(upto[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, done + most, side="right")))
+        yield a, b - a
+        a = b
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, also where lambdas inside refer to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,26 +7,25 @@ and emits its expected counts, a native aggregate adds them, and the driver (whi
 ``STATES`` x symbols) divides.  All ``ROUNDS`` rounds run over all training documents, which are read into
 symbols once.  Scoring is the scaled forward recursion over each whole text, many texts at a time.
 
-The vocabulary grows with the corpus and is never broadcast.  The ``FREQUENT`` most frequent words travel
-with the tasks; each other word of a document becomes a row (document, hash of the word, times) that meets
-the count table in a shuffled join.
+The vocabulary grows with the corpus and is never broadcast.  At most ``FREQUENT`` of the most frequent words
+(those over a count that a histogram of counts gives) travel with the tasks; each other word of a document
+becomes a row (document, word, times) that meets the count table in a shuffled join.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, materialise
+from .common import BLANKS, crc_mod, discard, give_back, materialise, text_parts
 
 STATES = 8
 SYMBOLS = 16384
@@ -35,17 +34,51 @@ FREQUENT = 131072
 ROUNDS = 8
 PRIOR_COUNTS = 20.0
 SEED = 42
-#: Distinct words a counting task holds; tokens a training task holds, and of one forward-backward run;
-#: documents of a scoring run.
+#: Distinct words a counting task holds; tokens a training task holds, and of one forward-backward run; bytes
+#: of text read at once, and scored at once.
 COUNT_WORDS = 200_000
 HELD_TOKENS = 4_000_000
 RUN_TOKENS = 500_000
-_ROWS = 2000
+READ_BYTES = 2 << 20
+SCORE_BYTES = 16 << 20
+#: Histogram of counts: steps of a doubling.
+STEPS = 32
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SOLID = np.ones(256, bool)
+_SOLID[[ord(c) for c in BLANKS]] = False
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    """Words of the text; bytes lower-case ASCII letters only and split at ASCII white space only."""
-    return (text or b"").lower().split()
+
+@dataclass
+class Words:
+    """Words of some texts: the distinct ones, and which of them stand where."""
+
+    distinct: pa.Array
+    code: np.ndarray
+    #: number of words of each text
+    counts: np.ndarray
+
+
+def words_in(texts: pa.Array) -> Words:
+    """Words of binary texts (null: none), ASCII letters lower-cased, split at ASCII white space."""
+    texts = pc.fill_null(texts, b"")
+    bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    if bounds[-1] == bounds[0]:
+        return Words(pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(len(texts), np.int64))
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds -= bounds[0]
+    solid = _SOLID[data]
+    first, last = solid.copy(), solid.copy()
+    edge = np.zeros(len(data) + 1, bool)  # a text begins here
+    edge[bounds] = True
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    offsets = np.append(0, np.cumsum(last - first + 1)).astype(np.int32)
+    packed = _LOWER[data[solid]]
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    return Words(coded.dictionary, coded.indices.to_numpy(), np.diff(np.searchsorted(first, bounds)))
 
 
 def class_of(word: bytes, classes: int = CLASSES) -> int:
@@ -62,21 +95,28 @@ def training(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
-        )
-        held.clear()
-        return out
-
+    held: list[pa.Table] = []
+    size = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.update(tokens_of(text))
-            if len(held) > COUNT_WORDS:
-                yield flush()
-    yield flush()
+        for a, n in text_parts(batch.column(0), READ_BYTES):
+            w = words_in(batch.column(0).slice(a, n))
+            held.append(pa.table({"word": w.distinct, "n": pa.array(np.bincount(w.code, minlength=len(w.distinct)), pa.int64())}))
+            size += len(w.distinct)
+            if size > 2 * COUNT_WORDS:
+                held = [_summed(held)]
+                size = len(held[0])
+                if size > COUNT_WORDS:
+                    yield from held.pop().to_batches()
+                    size = 0
+    if held:
+        yield from _summed(held).to_batches()
+    held.clear()
+    give_back()
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    found = pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")])
+    return pa.table({"word": found["word"], "n": found["n_sum"]})
 
 
 @dataclass
@@ -101,29 +141,37 @@ class Lexicon:
 class _Reader:
     def __init__(self, lex: Lexicon):
         self.lex = lex
-        words = lex.words.split(b" ") if lex.words else []
-        self.at = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(lex.words.split(b" ") if lex.words else [], pa.binary())
         self.classes = len(lex.class_log)
-        n, m = len(words), lex.symbols
-        self.symbol = np.arange(1, n + 1)
-        for i in range(m, n):
-            self.symbol[i] = 1 + m + class_of(words[i], self.classes)
+        n, m = len(self.words), lex.symbols
+        self.symbol = np.arange(1, n + 1, dtype=np.int32)
+        self.symbol[m:] = 1 + m + self.class_of_each(self.words.slice(m))
         self.log_count = np.log10(lex.counts + 0.5)
         #: what a frequent word outside the symbols adds to the score besides its class symbol
         self.in_class = np.zeros(n)
         self.in_class[m:] = self.log_count[m:] - lex.class_log[self.symbol[m:] - 1 - m]
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Symbols of the tokens with the end; ranks of the frequent words; the other words."""
-        words = tokens_of(text)
-        rank = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        out = np.zeros(len(words) + 1, np.int32)
-        known = rank >= 0
-        out[:-1][known] = self.symbol[rank[known]]
-        rare_at = np.flatnonzero(~known)
-        rare = [words[i] for i in rare_at]
-        out[rare_at] = [1 + self.lex.symbols + class_of(w, self.classes) for w in rare]
-        return out, rank[known], rare
+    def class_of_each(self, words: pa.Array) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0, np.int32)
+        ends = pc.binary_slice(words, -3).dictionary_encode()
+        each = np.array([class_of(w, self.classes) for w in ends.dictionary.to_pylist()], np.int32)
+        return each[ends.indices.to_numpy()]
+
+    def read(self, texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words; for each distinct one its rank (-1: not frequent) and its class; then the symbols of all
+        texts end to end, with their ends, and the number of symbols of each text."""
+        w = words_in(texts)
+        rank = pc.fill_null(pc.index_in(w.distinct, value_set=self.words), -1).to_numpy().astype(np.int64)
+        symbol, of_class = np.zeros(len(rank), np.int32), np.zeros(len(rank), np.int32)
+        known, rare = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        symbol[known] = self.symbol[rank[known]]
+        of_class[rare] = self.class_of_each(w.distinct.take(pa.array(rare)))
+        symbol[rare] = 1 + self.lex.symbols + of_class[rare]
+        lengths = w.counts + 1
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        flat[np.arange(len(w.code)) + np.repeat(np.arange(len(lengths)), w.counts)] = symbol[w.code]
+        return w, rank, of_class, flat, lengths
 
 
 @dataclass
@@ -134,69 +182,81 @@ class Model:
     emit: np.ndarray
 
 
-def _runs(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, symbols end to end, offsets) with the longest text first; for time step t the active texts
-    are a prefix."""
-    lengths = np.array([len(t) for t in texts])
-    order = np.argsort(-lengths, kind="stable")
-    yield order, np.concatenate([texts[i] for i in order]), np.cumsum(lengths[order]) - lengths[order]
-
-
-def _active(lengths: np.ndarray) -> np.ndarray:
-    """For each step, the number of texts longer than it; lengths fall."""
-    return np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-
-
-def forward(texts: list[np.ndarray], model: Model) -> np.ndarray:
-    """log10 probability of each symbol sequence (all have at least the end)."""
-    if not texts:
-        return np.zeros(0)
-    out = np.zeros(len(texts))
-    for order, flat, offsets in _runs(texts):
-        lengths = np.array([len(texts[i]) for i in order])
-        total = np.zeros(len(order))
-        now = None
-        for t, n in enumerate(_active(lengths)):
-            seen = model.emit[flat[offsets[:n] + t]]
-            now = model.start * seen if now is None else (now[:n] @ model.move) * seen
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            total[:n] += np.log10(scale)
-        out[order] = total
+class _Steps:
+    """Texts side by side: the symbols of step t stand from ``base[t]`` on, the longest text's first."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        """``flat``: the texts' symbols end to end; all texts have one at least."""
+        self.order = np.argsort(-lengths, kind="stable")
+        size = lengths[self.order]
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        self.base = np.append(0, np.cumsum(active)).tolist()
+        rank = np.empty(len(lengths), np.int64)
+        rank[self.order] = np.arange(len(lengths))
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = np.array(self.base)[at]
+        at += np.repeat(rank, lengths)
+        self.symbols = np.empty(len(flat), np.int32)
+        self.symbols[at] = flat
+
+
+def forward(flat: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """log10 probability of each symbol sequence; ``flat`` has them end to end, all have at least the end."""
+    out = np.zeros(len(lengths))
+    if not len(lengths):
+        return out
+    steps = _Steps(flat, lengths)
+    total = np.zeros(len(lengths))
+    one = np.ones(len(model.start))
+    now = None
+    for i, j in zip(steps.base, steps.base[1:], strict=False):
+        seen = model.emit[steps.symbols[i:j]]
+        now = model.start * seen if now is None else (now[: j - i] @ model.move) * seen
+        scale = now @ one
+        now /= scale[:, None]
+        total[: j - i] += np.log10(scale)
+    out[steps.order] = total
     return out
 
 
-def expected_counts(texts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts (start, moves, emissions) and the log10 likelihood of some sequences."""
+def expected_counts(flat: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts (start, moves, emissions) and the log10 likelihood of some sequences.
+
+    Steps are in single precision, sums in double.
+    """
     k, symbols = len(model.start), len(model.emit)
-    start, move, emit, like = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k)), 0.0
-    for order, flat, offsets in _runs(texts):
-        lengths = np.array([len(texts[i]) for i in order])
-        active = _active(lengths)
-        alpha = np.empty((len(flat), k))
-        scales = np.empty(len(flat))
-        now = None
-        for t, n in enumerate(active):
-            at = offsets[:n] + t
-            seen = model.emit[flat[at]]
-            now = model.start * seen if now is None else (now[:n] @ model.move) * seen
-            scale = now.sum(axis=1)
-            now = now / scale[:, None]
-            alpha[at], scales[at] = now, scale
-        like += float(np.log10(scales).sum())
-        beta = np.ones((len(order), k))
-        for t in range(len(active) - 1, 0, -1):
-            n = active[t]
-            at = offsets[:n] + t
-            ahead = model.emit[flat[at]] * beta[:n] / scales[at, None]
-            move += alpha[at - 1].T @ ahead
-            alpha[at] *= beta[:n]
-            beta[:n] = ahead @ model.move.T
-        alpha[offsets] *= beta
-        start += alpha[offsets].sum(axis=0)
-        for s in range(k):
-            emit[:, s] += np.bincount(flat, alpha[:, s], symbols)
-    return start, move * model.move, emit, like
+    move_sum, emit_sum = np.zeros((k, k)), np.zeros((symbols, k))
+    steps = _Steps(flat, lengths)
+    base = steps.base
+    start, move, emit = (np.ascontiguousarray(x, np.float32) for x in (model.start, model.move, model.emit))
+    back, one = np.ascontiguousarray(move.T), np.ones(k, np.float32)
+    alpha = np.empty((len(flat), k), np.float32)
+    scales = np.empty((len(flat), 1), np.float32)
+    seen_all = emit[steps.symbols]
+    for i, j in zip(base, base[1:], strict=False):
+        now = np.matmul(alpha[last : last + j - i], move) if i else np.repeat(start[None], j, axis=0)  # noqa: F821
+        now *= seen_all[i:j]
+        scale = (now @ one)[:, None]
+        np.divide(now, scale, out=alpha[i:j])
+        scales[i:j] = scale
+        last = i
+    like = float(np.log10(scales, dtype=np.float64).sum())
+    seen_all /= scales
+    beta = np.ones((len(lengths), k), np.float32)
+    for t in range(len(base) - 2, 0, -1):
+        i, j = base[t], base[t + 1]
+        own = beta[: j - i]
+        ahead = seen_all[i:j]
+        ahead *= own
+        alpha_before = alpha[base[t - 1] : base[t - 1] + j - i]
+        move_sum += alpha_before.T @ ahead
+        alpha[i:j] *= own
+        np.matmul(ahead, back, out=own)
+    alpha[: len(lengths)] *= beta
+    start_sum = alpha[: len(lengths)].sum(axis=0, dtype=np.float64)
+    for s in range(k):
+        emit_sum[:, s] = np.bincount(steps.symbols, alpha[:, s], symbols)
+    return start_sum, move_sum * model.move, emit_sum, like
 
 
 _open: dict[str, tuple[_Reader, Model | None]] = {}
@@ -216,8 +276,12 @@ def _symbols(key: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, _ = _opened(key, held)
         for batch in batches:
-            seqs = [reader.read(text)[0].tobytes() for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary())], names=["seq"])
+            for a, n in text_parts(batch.column(0), READ_BYTES):
+                *_, flat, lengths = reader.read(batch.column(0).slice(a, n))
+                offsets = np.append(0, 4 * np.cumsum(lengths)).astype(np.int32)
+                seqs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([seqs], names=["seq"])
+        give_back()
 
     return run
 
@@ -231,7 +295,7 @@ def _expect(held):
         def work(texts: list[np.ndarray]) -> None:
             nonlocal like
             if texts:
-                a, b, c, d = expected_counts(texts, model)
+                a, b, c, d = expected_counts(np.concatenate(texts), np.array([len(t) for t in texts]), model)
                 start[:] += a
                 move[:] += b
                 emit[:] += c
@@ -258,6 +322,8 @@ def _expect(held):
                     flush(texts)
                     texts, size = [], 0
         flush(texts)
+        texts.clear()
+        give_back()
         seen = np.flatnonzero(emit.any(axis=1))
         # rows: -1 starts, -2 - s moves from state s, -100 likelihood, otherwise a symbol's emissions
         rows = np.concatenate([start[None], move, np.full((1, k), like), emit[seen]])
@@ -304,8 +370,16 @@ def first_model(lex: Lexicon, states: int, seed: int = SEED) -> Model:
 
 def lexicon(counts: DataFrame, docs: int, symbols: int, frequent: int, classes: int) -> tuple[Lexicon, Column]:
     """The lexicon of a count table, and the condition that holds for the words it leaves out."""
-    total = counts.agg(F.count("*"), F.sum("n")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    # a row a step of a doubling: how many words have such counts
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    found = counts.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()
+    total = sum(r["v"] for r in found), sum(r["n"] for r in found)
+    room, cut = frequent, None
+    for r in sorted(found, key=lambda r: -r["step"]):
+        if r["v"] > room:
+            break
+        room, cut = room - r["v"], r["least"]
+    top = counts.where(F.col("n") >= cut if cut is not None else F.lit(False)).toArrow()  # ``frequent`` rows at most
     words, n = top["word"].to_pylist(), top["n"].to_numpy().astype(np.int64)
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words, n = [words[i] for i in order], n[order]
@@ -326,11 +400,11 @@ def lexicon(counts: DataFrame, docs: int, symbols: int, frequent: int, classes:
     for r in sums:
         class_n[r["c"]], class_v[r["c"]] = r["n"], r["v"]
     lex = Lexicon(
-        b" ".join(words), n, docs, (total[1] or 0) + docs, total[0] + (docs > 0), symbols,
+        b" ".join(words), n, docs, total[1] + docs, total[0] + (docs > 0), symbols,
         np.log10(class_n + 0.5 * (class_v + 1)),
         np.concatenate([[docs], n[:symbols], class_n]),
     )
-    return lex, F.lit(True) if len(words) < frequent else F.col("n") <= int(n[-1])
+    return lex, F.lit(True) if cut is None else F.col("n") < cut
 
 
 def _score(key: str, held):
@@ -339,41 +413,44 @@ def _score(key: str, held):
         lex = reader.lex
         share = math.log10(lex.tokens + 0.5 * (lex.distinct + 1))
         end = math.log10(lex.docs + 0.5)
+        names = ["rid", "kind", "word", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+        none = lambda t, size: pa.nulls(size, t)
         for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(k, _ROWS)
-                rids = batch.column(0).to_pylist()
-                seqs, rows, rare_rows = [], [], []
-                for rid, text in zip(rids, batch.column(2).to_pylist(), strict=True):
-                    seq, rank, rare = reader.read(text)
-                    seqs.append(seq)
-                    n = len(seq)
-                    base = float(reader.log_count[rank].sum()) + end - n * share
-                    inner = float(reader.in_class[rank].sum())
-                    for w, times in Counter(rare).items():
-                        h = xxhash.xxh64_intdigest(w, SEED)
-                        rare_rows.append((rid, h - (1 << 64) if h >> 63 else h, times))
-                        inner -= times * lex.class_log[class_of(w, reader.classes)]
-                    rows.append((n, len(rank) + (lex.docs > 0), base, inner))
-                score = forward(seqs, model) + [r[3] for r in rows]
-                n, m = len(rids), len(rare_rows)
-                none = lambda t, size: pa.nulls(size, t)
-                own = [
-                    pa.array(rids, pa.int64()), pa.array([0] * n, pa.int32()), pa.array(rids, pa.int64()),
-                    none(pa.int64(), n), batch.column(1), pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()),
+            for a, size in text_parts(whole.column(2), SCORE_BYTES):
+                batch = whole.slice(a, size)
+                n_known, base, inner = np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
+                flats, every = [], []
+                rids = batch.column(0).to_numpy()
+                for b, m in text_parts(batch.column(2), READ_BYTES):
+                    w, rank, of_class, flat, lengths = reader.read(batch.column(2).slice(b, m))
+                    flats.append(flat)
+                    every.append(lengths)
+                    row = np.repeat(np.arange(m), w.counts)
+                    of = rank[w.code]
+                    known = of >= 0
+                    n_known[b : b + m] = np.bincount(row[known], minlength=m)
+                    base[b : b + m] = np.bincount(row[known], reader.log_count[of[known]], m)
+                    inner[b : b + m] = np.bincount(row[known], reader.in_class[of[known]], m)
+                    # the other words: how often each stands in each text
+                    pair, times = np.unique(row[~known] * max(1, len(rank)) + w.code[~known], return_counts=True)
+                    row, code = np.divmod(pair, max(1, len(rank)))
+                    inner[b : b + m] -= np.bincount(row, times * lex.class_log[of_class[code]], m)
+                    if len(pair):
+                        k = len(pair)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(rids[b + row]), pa.array(np.ones(k, np.int32)), w.distinct.take(pa.array(code)),
+                            pa.array(times, pa.int64()), *[none(pa.int64(), k)] * 3, *[none(pa.float64(), k)] * 2,
+                        ], names=names)
+                lengths = np.concatenate(every)
+                score = forward(np.concatenate(flats), lengths, model) + inner
+                # a text's own row has a word that spreads it and meets nothing
+                spread = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), size, [None, pa.py_buffer(np.ascontiguousarray(rids))])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array(np.zeros(size, np.int32)), spread.cast(pa.binary()), none(pa.int64(), size),
+                    batch.column(1), pa.array(lengths), pa.array(n_known + (lex.docs > 0)), pa.array(base + end - lengths * share),
                     pa.array(score),
-                ]
-                other = [
-                    pa.array([r[0] for r in rare_rows], pa.int64()), pa.array([1] * m, pa.int32()),
-                    pa.array([r[1] for r in rare_rows], pa.int64()), pa.array([r[2] for r in rare_rows], pa.int64()),
-                    none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m),
-                    none(pa.float64(), m),
-                ]
-                names = ["rid", "kind", "h", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays(own, names=names)
-                if m:
-                    yield pa.RecordBatch.from_arrays(other, names=names)
+                ], names=names)
+        give_back()
 
     return run
 
@@ -408,12 +485,10 @@ def score_documents(
     key = f"s{held._jbroadcast.id()}-{spark.sparkContext.applicationId}"
     rows = own.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(
         _score(key, held),
-        "rid long, kind int, h long, times long, doc_id long, n_tokens long, n_known long, base_score double, score double",
-    )
-    known = counts.where(left_out).select(
-        F.lit(1).alias("kind"), F.xxhash64("word").alias("h"), F.col("n").alias("c")
+        "rid long, kind int, word binary, times long, doc_id long, n_tokens long, n_known long, base_score double, score double",
     )
-    met = rows.join(known, ["kind", "h"], "left")
+    known = counts.where(left_out).select(F.lit(1).alias("kind"), "word", F.col("n").alias("c"))
+    met = rows.join(known, ["kind", "word"], "left")
     log_count = F.when(F.col("kind") == 1, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).otherwise(0.0)
     found = F.when((F.col("kind") == 1) & (F.col("c") > 0), F.col("times")).otherwise(0)
     done = met.groupBy("rid").agg(

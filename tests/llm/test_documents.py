@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -451,10 +452,21 @@ def test_forward_and_baum_welch_by_enumeration():
         for t, o in enumerate(s):
             for k in range(3):
                 counts[o, k] += p[ps[:, t] == k].sum() / p.sum()
-    assert np.allclose(hmm.forward(seqs, m), total)
-    start, move, emit, like = hmm.expected_counts(seqs, m)
-    assert np.allclose(emit, counts) and like == pytest.approx(sum(total))
-    assert start.sum() == pytest.approx(3) and move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
+    side = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    assert np.allclose(hmm.forward(*side, m), total)
+    start, move, emit, like = hmm.expected_counts(*side, m)
+    assert np.allclose(emit, counts, rtol=1e-4) and like == pytest.approx(sum(total), rel=1e-5)
+    assert start.sum() == pytest.approx(3, rel=1e-5) and move.sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-5)
+
+
+def test_words_of_arrow_texts():
+    texts = [r[1] for r in _rows()] + [" A\x0bb\tC\n", "end", "Start"]
+    held = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
+    for part in (held, held.slice(3, 9)):
+        w = hmm.words_in(part)
+        flat = [w.distinct[int(c)].as_py() for c in w.code]
+        want = [(t or b"").lower().split() for t in part.to_pylist()]
+        assert flat == [x for t in want for x in t] and w.counts.tolist() == [len(t) for t in want]
 
 
 def test_every_training_round_sees_all_training_documents(spark, monkeypatch):
