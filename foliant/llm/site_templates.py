@@ -1,10 +1,12 @@
 """Main text of web pages by removal of site templates.
 
-Every page is parsed to a tree; the subtree of each element gets a hash of its tag, text and children.  Spark
-counts on how many different pages of a host each subtree stands (exact copies of a page count once), and
-subtrees that stand on many of them are deleted.  Elements that say what they are (menus, footers, forms,
-adverts, notices, reader comments and so on, by tag, role, class or id) are deleted at once.  What is left
-of the article is written as blocks.
+Every page is parsed to a tree; the subtree of each element gets two hashes: one of its tag, text and children,
+and a frame, of its tag, names and children without the text.  Spark counts on how many different pages of a
+host each subtree stands (exact copies of a page count once), before anything is deleted.  Subtrees with the same
+text on many pages go wherever they stand; outside the article, where a page has one, so do those whose frame
+recurs (menus whose links differ, footers whose lines differ).  Then elements that say what they are (menus,
+footers, forms, adverts, notices, reader comments and so on, by tag, role, class or id) are deleted too.  What
+is left of the article is written as blocks.
 
 The recurring subtrees are broadcast as sorted 64-bit hashes up to ``BROADCAST_ROWS`` of them (8 bytes each);
 beyond that each page gets its own by a join.
@@ -22,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_back, materialise
 
 #: A subtree is a template when it stands on that many different pages of a host, and on that share of them.
 MIN_PAGES = 10
 MIN_SHARE = 0.3
+#: The same for frames outside the article.
+MIN_FRAME_PAGES = 3
+MIN_FRAME_SHARE = 0.5
 BROADCAST_ROWS = 1_000_000
 
 # Names of the HTML standard, and words that name page furniture.
@@ -47,6 +52,11 @@ FURNITURE = re.compile(
     r"|subscription|signup|popup|modal|overlay|share|sharing|social|related|recommended|recommendations|comments?|disqus"
     r"|respond|reply|replies|login|search|widget|pagination|pager|toolbar|skip|copyright|disclaimer|alert|toast)"
 )
+#: Words that go with those in a compound class name, and name no content of their own.
+PLAIN = frozenset(
+    "site page global main top bottom left right box block wrapper wrap container inner outer list section area bar button buttons"
+    " link links item items post primary secondary unit slot form policy message text title row col js icon icons group panel".split()
+)
 #: A start tag of one of these ends an open one of those.
 _P_ENDS = BLOCK - {"li", "tr", "tbody", "tfoot", "thead", "caption", "dd", "dt", "html", "body", "legend", "summary"}
 _ENDS = {
@@ -60,35 +70,46 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_DIGITS = re.compile(r"\d+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class or id names page furniture: a furniture word, alone or with plain words only."""
+    parts = [x for x in re.split(r"[_\-]+", name) if x]
+    named = [x for x in parts if FURNITURE.fullmatch(x)]
+    return bool(named) and all(x in PLAIN or x in named for x in parts)
+
+
 class Element:
-    __slots__ = ("tag", "kids", "hash", "size", "core", "named", "drop")
+    __slots__ = ("tag", "kids", "hash", "frame", "size", "core", "names", "named", "drop")
 
     def __init__(self, tag: str, attributes: str):
         self.tag = tag
         self.kids: list[Element | str] = []
-        self.hash = self.size = 0
+        self.hash = self.frame = self.size = 0
         #: holds an article, the main part or a first heading
         self.core = tag in ("article", "main", "h1")
+        self.names = ""
         self.named = False
         self.drop = tag in GONE
-        if attributes and not self.drop:
+        if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name == "role":
                     self.drop |= value.strip() in ROLES
                     self.core |= value.strip() in ("main", "article")
+                    self.names += f" role={value}"
                 elif name in ("class", "id"):
-                    self.named |= any(FURNITURE.fullmatch(x) for x in re.split(r"[\s_\-]+", value))
+                    self.named |= any(map(_is_furniture, value.split())) and not (tag == "p" and value.strip() == "alert")
+                    self.names += " " + _DIGITS.sub("0", value)
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     self.drop = True
                 elif name == "style":
                     self.drop |= "display:none" in value.replace(" ", "")
 
     def close(self) -> None:
-        parts = [self.tag]
+        parts, frames = [self.tag], [self.tag + self.names]
         for k in self.kids:
             if isinstance(k, str):
                 t = " ".join(k.split())
@@ -98,8 +119,12 @@ class Element:
                 self.size += 0 if k.drop else k.size
                 self.core |= k.core and not k.drop
                 parts.append(f"\0{k.hash:x}")
+                own = f"\0{k.frame:x}"
+                if frames[-1] != own:  # a run of like children counts as one
+                    frames.append(own)
         self.drop |= self.named and not self.core
         self.hash = xxhash.xxh64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass"), 42)
+        self.frame = xxhash.xxh64_intdigest("\1".join(frames).encode("utf-8", "surrogatepass"), 42)
 
 
 def parse(source: str) -> Element:
@@ -187,31 +212,55 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def keys_of(root: Element, host: str) -> dict[int, Element]:
-    """Key (a hash of host and subtree) -> an element, for elements with text that hold no main part."""
-    out = {}
-    for e in walk(root):
-        if e.size and not e.core:
-            out[_signed(xxhash.xxh64_intdigest(f"{host}\0{e.hash:x}", 42))] = e
-    return out
+def tops(root: Element) -> list[Element]:
+    """The outermost articles and main parts with text, in page order; those named as furniture only if all are."""
+    found, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        if e.drop:
+            continue
+        if e.tag in ("article", "main") and e.size:
+            found.append(e)
+        else:
+            todo.extend(k for k in reversed(e.kids) if isinstance(k, Element))
+    return [e for e in found if not e.named] or found
+
 
+def keys_of(root: Element, host: str) -> list[tuple[int, Element]]:
+    """(key, element) of the subtrees that are counted: a hash of host and subtree, even for its text and odd for
+    its frame.
 
-def _content(root: Element) -> Element:
-    """The article: the largest of its kind, else the main part, else the page."""
-    found: dict[str, Element] = {}
-    for e in walk(root):
-        if e.tag in ("article", "main") and e.size > (found[e.tag].size if e.tag in found else 0):
-            found[e.tag] = e
-    return found.get("article") or found.get("main") or root
+    Elements with text that hold no main part; below one that names itself as furniture none are looked at.
+    Frames count outside the article and main part of pages that have one.
+    """
+    out = []
+    inside = tops(root)
+    todo = [(root, False)]
+    while todo:
+        e, within = todo.pop()
+        within |= any(e is t for t in inside)
+        if e.size and not e.core:
+            out.append((_signed(xxhash.xxh64_intdigest(f"{host}\0{e.hash:x}", 42) & ~1), e))
+            if inside and not within:
+                out.append((_signed(xxhash.xxh64_intdigest(f"{host}\1{e.frame:x}", 42) | 1), e))
+        if not e.drop:
+            todo.extend((k, within) for k in e.kids if isinstance(k, Element))
+    return out
 
 
-def blocks(root: Element, removed=frozenset(), host: str = "") -> list[str]:
-    """Blocks of the main text; subtrees whose key is in ``removed`` are deleted first."""
-    if removed and host:
-        gone = {e.hash for key, e in keys_of(root, host).items() if key in removed}
-        for e in walk(root):
-            e.drop |= e.hash in gone and not e.core
-    top = _content(root)
+def blocks(root: Element, removed=frozenset(), host: str = "") -> tuple[list[str], int]:
+    """Blocks of the main text, and the number of subtrees deleted as templates: those whose key is in ``removed``."""
+    n = 0
+    if host and len(removed):
+        gone = {id(e) for key, e in keys_of(root, host) if key in removed}
+        todo = [root] if gone else []
+        while todo:
+            e = todo.pop()
+            if id(e) in gone:
+                e.drop = True
+                n += 1
+            else:
+                todo.extend(k for k in e.kids if isinstance(k, Element))
     out: list[str] = []
     run: list[str] = []
 
@@ -221,30 +270,30 @@ def blocks(root: Element, removed=frozenset(), host: str = "") -> list[str]:
         if t:
             out.append(t)
 
-    todo: list = [iter(top.kids)]
-    kinds = [top.tag]
-    while todo:
-        k = next(todo[-1], None)
-        if k is None:
-            todo.pop()
-            if kinds.pop() in BLOCK:
-                end()
-        elif isinstance(k, str):
-            run.append(k)
-        elif k.drop or k.tag == "header" and top.tag not in ("article", "main") and not k.core:
-            if k.tag in BLOCK or k.tag in GONE:
-                end() if k.tag in BLOCK else run.append(" ")
-        elif k.tag in ("br", "td", "th", "img", "wbr"):
-            run.append("" if k.tag == "wbr" else " ")
-            todo.append(iter(k.kids))
-            kinds.append(k.tag)
-        else:
-            if k.tag in BLOCK:
-                end()
-            todo.append(iter(k.kids))
-            kinds.append(k.tag)
-    end()
-    return out
+    for top in tops(root) or [root]:
+        todo, kinds = [iter(top.kids)], [top.tag]
+        while todo:
+            k = next(todo[-1], None)
+            if k is None:
+                todo.pop()
+                if kinds.pop() in BLOCK:
+                    end()
+            elif isinstance(k, str):
+                run.append(k)
+            elif k.drop or k.tag == "header" and top.tag not in ("article", "main") and not k.core:
+                if k.tag in BLOCK or k.tag in GONE:
+                    end() if k.tag in BLOCK else run.append(" ")
+            elif k.tag in ("br", "td", "th", "img", "wbr"):
+                run.append("" if k.tag == "wbr" else " ")
+                todo.append(iter(k.kids))
+                kinds.append(k.tag)
+            else:
+                if k.tag in BLOCK:
+                    end()
+                todo.append(iter(k.kids))
+                kinds.append(k.tag)
+        end()
+    return out, n
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +305,9 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             root = parse(source or "")
             hosts.append(_signed(xxhash.xxh64_intdigest(host, 42)))
-            text = "\n".join(blocks(root))
+            text = "\n".join(blocks(root)[0])
             prints.append(_signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)))
-            keys.append([0, *keys_of(root, host)] if host else [])
+            keys.append([0, *dict.fromkeys(key for key, _ in keys_of(root, host))] if host else [])
         yield pa.RecordBatch.from_arrays(
             [pa.array(rids, pa.int64()), pa.array(hosts, pa.int64()), pa.array(prints, pa.int64()),
              pa.array(keys, pa.list_(pa.int64()))],
@@ -266,14 +315,20 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_frame_pages: int = MIN_FRAME_PAGES,
+    min_frame_share: float = MIN_FRAME_SHARE,
+) -> DataFrame:
     """(key): subtrees that stand on many different pages of their host."""
     found = pages.mapInArrow(_subtrees, "rid long, host long, page long, keys array<long>")
     on = found.select("host", "page", F.explode("keys").alias("key")).distinct()
-    counts = on.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    by_frame = F.col("key").bitwiseAND(F.lit(1)) == 1
+    least = F.when(by_frame, min_frame_pages).when(F.col("key") == 0, 1).otherwise(min_pages)
+    counts = on.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     counts = materialise(counts, "subtrees")
     size = counts.where("key = 0").select("host", F.col("n").alias("of"))
-    return counts.where("key <> 0").join(size, "host").where(F.col("n") >= min_share * F.col("of")).select("key").distinct()
+    share = F.when(by_frame, min_frame_share).otherwise(min_share)
+    return counts.where("key <> 0").join(size, "host").where(F.col("n") >= share * F.col("of")).select("key").distinct()
 
 
 class _Sorted:
@@ -296,40 +351,48 @@ def _texts(held):
         for batch in batches:
             column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n in ("url", "html", "gone")}
             gone = column.get("gone") or [None] * batch.num_rows
-            out = []
+            out, counts = [], []
             for url, source, own in zip(column["url"], column["html"], gone, strict=True):
                 removed = shared if shared is not None else frozenset(own or ())
-                out.append("\n\n".join(blocks(parse(source or ""), removed, host_of(url))))
+                parts, n = blocks(parse(source or ""), removed, host_of(url))
+                out.append("\n\n".join(parts))
+                counts.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int64())],
+                names=["page_id", "url", "text", "n_templates"],
             )
+        give_back()
 
     return run
 
 
 def main_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_frame_pages: int = MIN_FRAME_PAGES,
+    min_frame_share: float = MIN_FRAME_SHARE, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """page_id, url, text, n_chars: one row for each row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars, n_templates: one row for each row of ``pages`` (page_id, url, html).
 
-    A null or blank page has an empty text.  A page without a host has no templates.  Repeated rows come
-    back as often as they came in.  Other columns are ignored.
+    n_templates counts the subtrees deleted because they recur on the host.  A null or blank page has an empty
+    text.  A page without a host has no templates.  Repeated rows come back as often as they came in.  Other
+    columns are ignored.
     """
     own = pages.select(
         F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), "url", "html"
     )
     slim = own.select("rid", "url", "html")
-    found = materialise(templates(slim, min_pages, min_share), "templates")
+    found = materialise(templates(slim, min_pages, min_share, min_frame_pages, min_frame_share), "templates")
     n = found.count()
-    schema = "page_id long, url string, text string"
+    schema = "page_id long, url string, text string, n_templates long"
     if n <= broadcast_rows:
         keys = np.sort(found.toArrow()["key"].to_numpy()) if n else np.zeros(0, np.int64)
         held = pages.sparkSession.sparkContext.broadcast(keys)
         out = own.select("page_id", "url", "html").mapInArrow(_texts(held), schema)
     else:
+        own = materialise(own, "pages")  # the same row numbers on both sides of the join
+        slim = own.select("rid", "url", "html")
         on = slim.mapInArrow(_subtrees, "rid long, host long, page long, keys array<long>")
         gone = on.select("rid", F.explode("keys").alias("key")).join(found, "key").groupBy("rid").agg(
             F.collect_set("key").alias("gone")  # at most the elements of one page
         )
         out = own.join(gone, "rid", "left").select("page_id", "url", "html", "gone").mapInArrow(_texts(None), schema)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")

@@ -93,3 +93,34 @@ def test_recurring_subtrees_go_and_copies_stay(spark):
     assert all(got[100 + i].endswith("digest every day.") for i in range(40)) and got[200].endswith("digest every day.")
     joined = {r.page_id: r.text for r in site_templates.main_text(df, broadcast_rows=-1).collect()}
     assert joined == got
+
+
+def test_all_articles_and_the_lead_stay_and_named_parts_go():
+    text = lambda html: site_templates.blocks(site_templates.parse(html))[0]
+    assert text("<article><p>one</p></article><div>x</div><article><p>two</p></article>") == ["one", "two"]
+    assert text("<main><p>lead</p><article><p>one</p></article></main><footer>f</footer>") == ["lead", "one"]
+    assert text("<article><p>one</p></article><article class=comment><p>me too</p></article>") == ["one"]
+    kept = "<article><p>one</p><p class='alert'>mind</p><div class='share-of-market'>two</div><div class='share-buttons'>s</div></article>"
+    assert text(kept) == ["one", "mind", "two"]
+    assert text("<div class='ad-banner'>a</div><div id='cookie-notice'>c</div><p>body</p>") == ["body"]
+
+
+def test_templates_are_counted_as_by_hand(spark):
+    menu = lambda i: "<div class='strip'>" + "".join(f"<a href='/{i}{k}'>go {i} {k}</a>" for k in range(2 + i % 3)) + "</div>"
+    line = "<p>Same line on each page.</p>"
+    page = lambda i: f"{menu(i)}<article><h1>T {i}</h1><p>Body {i}.</p>{line if i % 2 else ''}</article><div>tail {i}</div>"
+    rows = [(i, f"https://a.org/{i}", page(i)) for i in range(30)] + [(100 + i, f"https://b.org/{i}", page(i)) for i in range(2)]
+    rows += [(200 + i, "https://a.org/copy", page(3)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    on, pages = {}, {}
+    for _, url, html in rows:
+        host, root = site_templates.host_of(url), site_templates.parse(html)
+        own = "\n".join(site_templates.blocks(root)[0])
+        pages.setdefault(host, set()).add(own)
+        for key, _ in site_templates.keys_of(root, host):
+            on.setdefault((host, key), set()).add(own)
+    want = {k for (h, k), v in on.items() if (len(v) >= 3 and 2 * len(v) >= len(pages[h]) if k & 1 else len(v) >= 10 and len(v) >= 0.3 * len(pages[h]))}
+    assert {r.key for r in site_templates.templates(df.selectExpr("page_id as rid", "url", "html")).collect()} == want and want
+    got = {r.page_id: r for r in site_templates.main_text(df).collect()}
+    assert all(got[i].text == f"T {i}\n\nBody {i}." and got[i].n_templates >= 2 for i in range(30))
+    assert got[101].text.endswith("Same line on each page.") and got[101].n_templates == 0
