@@ -2,11 +2,13 @@
 
 Equal vectors of a label become one point with a multiplicity.  The points of a label are dealt by hash into
 shards of about ``SHARD_POINTS``; each shard's graph is built in one task and written to the shared folder.
-Then every shard's points query every shard of the label (each pair of shards is one row, searched in both
-directions), with beams that widen for queries whose beam is full of links, and for the whole shard until an
-audit against brute force on sampled queries finds ``AUDIT_RECALL`` of the links.  Candidates are verified by
-cosine in double precision.  A task reports links as sums and one edge a point; edges are united by
-connected components over the shared folder.
+Then every shard's points query every shard of the label.  Shards are taken in packs of about ``PACK_BYTES``; a
+task holds two packs and searches all their pairs in both directions, so a graph travels once a pack and not
+once a shard, and tasks are dealt by label and both packs.  Beams widen for queries whose beam is full of links,
+and for a pair of shards until an audit against brute force on sampled queries finds ``AUDIT_RECALL`` of the
+links (a vector's link to itself is no link); the sample grows until it has seen ``AUDIT_LINKS`` links or an eighth
+of the queries.  Candidates are verified by cosine in double precision.  A task reports links as sums and one
+edge a point; edges are united by connected components over the shared folder.
 
 Insertion and search run on whole batches of points in numpy: one step expands the best open candidates of
 all queries.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components_of, connected_components, materialise
+from .common import components_of, connected_components, give_back, materialise
 
 THRESHOLD = 0.93
 SHARD_POINTS = 16384
@@ -31,7 +33,9 @@ DEGREE = 12
 BUILD_BEAM = 48
 BEAM = 48
 AUDIT_QUERIES = 64
+AUDIT_LINKS = 64
 AUDIT_RECALL = 0.98
+PACK_BYTES = 48 << 20
 BATCH = 512
 _EXPAND = 4
 #: Single precision may miss a cosine by this much; the verification decides.
@@ -227,16 +231,29 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(axis=1))[:, None]).astype(np.float32)
 
 
-def audited_beam(graph: Graph, q: np.ndarray, least: float, recall: float = AUDIT_RECALL) -> int:
-    """Smallest beam of the widening series whose links of sampled queries reach ``recall`` of brute force."""
-    sample = q[np.argsort(_uniform(len(q)), kind="stable")[:AUDIT_QUERIES]]
-    true = int((sample @ graph.unit.T >= least).sum())
-    beam = BEAM
-    while beam < len(graph.unit):
-        if sum(len(i) for i, _ in graph.within(sample, least, beam)) >= recall * true:
-            break
+def audited_beam(
+    graph: Graph, q: np.ndarray, least: float, own: bool = False, recall: float = AUDIT_RECALL
+) -> tuple[int, int, int]:
+    """Smallest beam of the widening series whose links of sampled queries reach ``recall`` of brute force, the
+    links of the sample, and how many of them that beam finds.
+
+    With ``own`` the queries are the graph's points; a point's link to itself does not count.
+    """
+    order, size, sample, true = np.argsort(_uniform(len(q)), kind="stable"), AUDIT_QUERIES, 0, 0
+    while sample < len(q) and true < AUDIT_LINKS and (not sample or sample * 8 < len(q)):
+        upto = min(len(q), size)
+        for a in range(sample, upto, 256):
+            true += int((q[order[a : min(upto, a + 256)]] @ graph.unit.T >= least).sum())
+        true -= own * (upto - sample)
+        sample, size = upto, size * 2
+    order, beam, found = order[:sample], BEAM, 0
+    while True:
+        found = 0
+        for i, p in graph.within(q[order], least, beam):
+            found += int((order[i] != p).sum()) if own else len(i)
+        if found >= recall * true or beam >= len(graph.unit):
+            return beam, true, found
         beam *= 2
-    return beam
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -246,7 +263,7 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 
 def _build_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    table = table.combine_chunks().sort_by("point")
+    table = table.combine_chunks().sort_by([("hash", "ascending"), ("hash2", "ascending")])
     values = table["embedding"].combine_chunks()
     vectors = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
     graph = Graph.build(_unit(vectors))
@@ -254,8 +271,9 @@ def _build_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         vectors=vectors[graph.order], levels=graph.levels, point=table["point"].to_numpy()[graph.order],
         times=table["times"].to_numpy()[graph.order], **{f"links{i}": x for i, x in enumerate(graph.links)},
     )
+    give_back()
     return pa.table({
-        "label": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([key[1].as_py()], pa.int32()),
+        "label": pa.array([key[0].as_py()], pa.string()), "dim": pa.array([key[1].as_py()], pa.int32()),
         "shard": pa.array([key[2].as_py()], pa.int32()), "graph": pa.array([blob], pa.binary()),
     })
 
@@ -275,35 +293,53 @@ def _verified(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return out
 
 
+def _link_two(left: tuple, right: tuple, same: bool, threshold: float) -> tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]:
+    """(points, their links, the smallest point of each one's component) of two shards, and the audits."""
+    (g, a), (h, b) = left, right
+    codes, audits = [], []
+    for index, queries in ((h, g), *(() if same else ((g, h),))):
+        audits.append(audited_beam(index, queries.unit, threshold - _SLACK, same))
+        for i, j in index.within(queries.unit, threshold - _SLACK, audits[-1][0]):
+            if index is not h:
+                i, j = j, i
+            if same:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                i, j = i[i != j], j[i != j]
+            codes.append(i.astype(np.int64) * len(h.unit) + j)
+    code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    i, j = code // len(h.unit), code % len(h.unit)
+    good = _verified(a["vectors"], b["vectors"], i, j, threshold)
+    i, j = i[good], j[good]
+    u, v = a["point"][i], b["point"][j]
+    points, root = components_of(u, v)
+    times = np.concatenate([b["times"][j], a["times"][i]])
+    n = np.zeros(len(points), np.int64)
+    np.add.at(n, np.searchsorted(points, np.concatenate([u, v])), times)
+    return (points, n, root), audits
+
+
 def _link(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right, same in zip(*(batch.column(i) for i in range(3)), strict=True):
-                g, a = _read_shard(left.as_py())
-                h, b = (g, a) if same.as_py() else _read_shard(right.as_py())
-                codes = []
-                for index, data, queries in ((h, b, g), *(() if same.as_py() else ((g, a, h),))):
-                    beam = audited_beam(index, queries.unit, threshold - _SLACK)
-                    for i, j in index.within(queries.unit, threshold - _SLACK, beam):
-                        if index is not h:
-                            i, j = j, i
-                        if same.as_py():
-                            i, j = np.minimum(i, j), np.maximum(i, j)
-                            i, j = i[i != j], j[i != j]
-                        codes.append(i.astype(np.int64) * len(h.unit) + j)
-                code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-                i, j = code // len(h.unit), code % len(h.unit)
-                good = _verified(a["vectors"], b["vectors"], i, j, threshold)
-                i, j = i[good], j[good]
-                u, v = a["point"][i], b["point"][j]
-                points, root = components_of(u, v)
-                every = np.concatenate([u, v])
-                times = np.concatenate([b["times"][j], a["times"][i]])
-                n = np.zeros(len(points), np.int64)
-                np.add.at(n, np.searchsorted(points, every), times)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(points, pa.int64()), pa.array(n), pa.array(root, pa.int64())], names=["point", "n", "root"]
-                )
+    """The links between all shards of two packs; a pack meets itself once."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, high = key[2].as_py(), key[3].as_py()
+        rows = sorted(zip(table["shard"].to_pylist(), table["pack"].to_pylist(), range(len(table)), strict=True))
+        blobs = table["graph"]
+        out: list[tuple[np.ndarray, ...]] = []
+        first = [(shard, _read_shard(blobs[k].as_py())) for shard, pack, k in rows if pack == low]
+        for n, (shard, one) in enumerate(first):
+            if low == high:
+                for other, two in first[n:]:
+                    out.append(_link_two(one, two, shard == other, threshold)[0])
+        for _, pack, k in rows:
+            if low != high and pack == high:
+                two = _read_shard(blobs[k].as_py())
+                for _, one in first:
+                    out.append(_link_two(one, two, False, threshold)[0])
+        columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(3)]
+        first.clear()
+        give_back()
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("point", "n", "root"), columns, strict=True)})
 
     return run
 
@@ -321,45 +357,54 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, shard_points:
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    own = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    wide = rows.schema["embedding"].dataType.simpleString() == "array<double>"
+    own = rows.select(
+        "vec_id", F.col("embedding").cast("array<double>" if wide else "array<float>").alias("embedding"),
+        F.col("label").cast("string").alias("label"),
+    )
     own = own.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    # two 64-bit hashes stand for a vector of a label
+    # two 64-bit hashes stand for a vector, within its label
     own = materialise(own.select(
-        "vec_id", "sound", "label", F.when(F.col("sound"), F.col("embedding")).alias("embedding"),
-        F.when(F.col("sound"), F.xxhash64("label", "embedding")).alias("point"),
+        "vec_id", "sound", F.when(F.col("sound"), F.col("label")).alias("label"),
+        F.when(F.col("sound"), F.col("embedding")).alias("embedding"),
+        F.when(F.col("sound"), F.xxhash64("embedding")).alias("hash"),
+        F.when(F.col("sound"), F.xxhash64(F.lit("second"), "embedding")).alias("hash2"),
     ), "vectors")
-    points = own.where("sound").groupBy("point").agg(
-        F.first("label").alias("label"), F.first("embedding").alias("embedding"),
-        F.count("*").alias("times"), F.min("vec_id").alias("least"),
-    ).withColumn("dim", F.size("embedding"))
+    vector = ["label", "hash", "hash2"]
+    points = own.where("sound").groupBy(*vector).agg(
+        F.first("embedding").alias("embedding"), F.count("*").alias("times"), F.min("vec_id").alias("least"),
+    ).withColumns({"dim": F.size("embedding"), "point": F.monotonically_increasing_id()})
     points = materialise(points, "points")
     sizes = points.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_points).cast("int").alias("shards"))
     dealt = points.join(sizes, ["label", "dim"]).withColumn(
-        "shard", F.pmod(F.xxhash64("point", F.lit("shard")), F.col("shards")).cast("int")
+        "shard", F.pmod(F.xxhash64("hash", "hash2", F.lit("shard")), F.col("shards")).cast("int")
     )
     shards = materialise(
-        dealt.select("label", "dim", "shard", "point", "times", "embedding").groupBy("label", "dim", "shard")
-        .applyInArrow(_build_shard, "label long, dim int, shard int, graph binary"),
+        dealt.select("label", "dim", "shard", "point", "hash", "hash2", "times", "embedding").groupBy("label", "dim", "shard")
+        .applyInArrow(_build_shard, "label string, dim int, shard int, graph binary"),
         "graphs",
     )
-    other = shards.select("label", "dim", F.col("shard").alias("shard2"), F.col("graph").alias("graph2"))
-    pairs = shards.join(other, ["label", "dim"]).where("shard <= shard2").select(
-        "graph", F.when(F.col("shard") != F.col("shard2"), F.col("graph2")).alias("graph2"),
-        (F.col("shard") == F.col("shard2")).alias("same"), F.xxhash64("label", "dim", "shard", "shard2").alias("deal"),
+    # a row for every pack that a shard's pack meets; only shards of other packs travel again
+    each = shards.agg(F.max(F.length("graph"))).first()[0] or 1
+    pack_of = lambda shard: F.floor(shard / F.lit(max(1, PACK_BYTES // each))).cast("int")
+    packed = shards.join(sizes, ["label", "dim"]).withColumns({
+        "pack": pack_of(F.col("shard")), "other": F.explode(F.sequence(F.lit(0), pack_of(F.col("shards") - 1)))
+    })
+    pairs = packed.select(
+        "label", "dim", F.least("pack", "other").alias("low"), F.greatest("pack", "other").alias("high"), "shard", "pack", "graph"
     )
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism * 4)
     links = materialise(
-        pairs.repartition(n, "deal").drop("deal").mapInArrow(_link(threshold), "point long, n long, root long"), "links"
+        pairs.groupBy("label", "dim", "low", "high").applyInArrow(_link(threshold), "point long, n long, root long"), "links"
     )
     roots = connected_components(links.select("point", "root")).toDF("point", "top")
     sums = links.groupBy("point").agg(F.sum("n").alias("n"))
-    placed = points.select("point", "times", "least").join(sums, "point", "left").join(roots, "point", "left")
+    placed = points.select(*vector, "point", "times", "least").join(sums, "point", "left").join(roots, "point", "left")
     placed = materialise(placed.select(
-        "point", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least",
+        *vector, (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "least",
         F.coalesce("top", "point").alias("top"),
     ), "placed")
     ids = materialise(placed.groupBy("top").agg(F.min("least").alias("component_id")), "ids")
-    of_point = materialise(placed.join(ids, "top").select("point", "n_links", "component_id"), "of")
-    linked = own.where("sound").select("vec_id", "point").join(of_point, "point").select("vec_id", "n_links", "component_id")
+    of_point = materialise(placed.join(ids, "top").select(*vector, "n_links", "component_id"), "of")
+    linked = own.where("sound").select("vec_id", *vector).join(of_point, vector).select("vec_id", "n_links", "component_id")
     alone = own.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

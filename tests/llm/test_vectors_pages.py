@@ -58,6 +58,28 @@ def test_recall_without_brute_force():
     assert len(found) >= 0.97 * len(true)
 
 
+def test_the_audit_counts_no_link_of_a_point_to_itself():
+    rng = np.random.default_rng(9)
+    x = hnsw._unit(rng.normal(size=(3000, 32)).astype(np.float32))
+    g = hnsw.Graph.build(x)
+    assert hnsw.audited_beam(g, g.unit, 0.93, True)[1:] == (0, 0)
+    x[::2] = hnsw._unit((x[1::2] + 0.02 * rng.normal(size=(1500, 32))).astype(np.float32))
+    g = hnsw.Graph.build(x)
+    beam, true, found = hnsw.audited_beam(g, g.unit, 0.93, True)
+    assert true >= hnsw.AUDIT_LINKS and found >= 0.98 * true and beam >= hnsw.BEAM
+
+
+def test_packs_doubles_and_string_labels(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 12))
+    rows = [(i, (base[i % 60] + 0.02 * rng.normal(size=12)).tolist(), "ab"[i % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    whole = sorted(tuple(r) for r in hnsw.near_duplicates(df).collect())
+    monkeypatch.setattr(hnsw, "PACK_BYTES", 20_000)
+    assert sorted(tuple(r) for r in hnsw.near_duplicates(df, shard_points=50).collect()) == whole
+    assert all(r[1] == 9 and r[2] == r[0] % 60 for r in whole)
+
+
 ARTICLE = "<article><h1>Head &amp; {0}</h1><p>First {0}<b>bold</b>\n  text<br>more<p>Second &eacute; {0}</article>"
 
 
