@@ -5,7 +5,8 @@ of a template that is rare enough in the scanned corpus (inverse document freque
 templates and positions it stands at.  A file's rare licence words are looked up; each hit votes for
 (template, place of the file word minus place of the template word), so the votes of one copy of a template
 agree on one offset.  The share of a template's rare weight that agrees is its score at that offset, and a
-label is given where the score is high enough and a mandatory phrase of the template stands in the file.
+label is given where the score is high enough and the template's mandatory phrase stands in the file where that offset
+puts it, or some words beside.
 
 Votes are rows of a shuffle keyed by document, template and offset, so any number of hits and copies is
 handled whole.
@@ -69,6 +70,8 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: A licence word is rare when at most this share of the documents has it.
 MAX_DOCUMENT_SHARE = 0.1
 MIN_SCORE = 0.7
+#: The mandatory phrase may stand so many words from the place that the offset gives.
+SLACK = 8
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,6 +111,15 @@ def _base_places(words: Column, hits: Column, phrase: list[str], k: int, label:
     return F.transform(there, lambda h: F.struct((h["i"] - k).alias("i"), F.lit(label).alias("label")))
 
 
+def _less(places: Column, by: int) -> Column:
+    return F.transform(places, lambda b: b["i"] - by)
+
+
+def _place(phrase: list[str], words: list[str]) -> int:
+    """Where the phrase stands in the words of its template."""
+    return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+
+
 def document_shares(docs: DataFrame, wanted: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
     """Number of documents, and how many of them have each of the (at most some hundred) licence words."""
     hits = docs.select(F.array_distinct(F.transform(_hits(words_of_file(docs[text]), wanted), lambda h: h["w"])).alias("w"))
@@ -157,7 +169,11 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.flatten(F.array(*[
         _base_places(words, hits, p.split(), anchors[p], label) for p, label in BASE
     ]))
-    has = [F.size(_base_places(words, hits, m, k, "")) > 0 for m, k in zip(phrases, keys, strict=True)]
+    # where each template would begin by its mandatory phrase
+    starts = [
+        _less(_base_places(words, hits, m, k, ""), _place(m, plain_words(t)))
+        for m, k, (_, _, t) in zip(phrases, keys, TEMPLATES, strict=True)
+    ]
     idf = F.create_map(*[x for w, (v, _) in index.items() for x in (F.lit(w), F.lit(v))])
     postings = F.create_map(*[
         x for w, (_, ps) in index.items()
@@ -174,7 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
     facts = own.select(
         "rid", "doc_id", F.size(words).cast("long").alias("n_words"),
         F.when(some, base).alias("base"),
-        F.when(some, F.array(*has)).alias("has"),
+        F.when(some, F.array(*starts)).alias("starts"),
         F.when(some, votes).alias("votes"),
     )
     flat = facts.select(
@@ -183,9 +199,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_min(F.transform("base", lambda b: b["i"])).cast("long").alias("first_word"),
         F.array_max(F.transform("base", lambda b: b["i"])).cast("long").alias("last_word"),
         F.array_distinct(F.transform("base", lambda b: b["label"])).alias("base_set"),
-        "has", F.explode_outer("votes").alias("vote"),
+        "starts", F.explode_outer("votes").alias("vote"),
     )
-    fixed = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_set", "has"]
+    fixed = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_set", "starts"]
     by_offset = flat.groupBy("rid", "vote.t", "vote.o").agg(
         *[F.first(c).alias(c) for c in fixed], F.sum("vote.v").alias("v")
     )
@@ -194,7 +210,8 @@ def scan(docs: DataFrame) -> DataFrame:
         "s", F.when(F.col("t").isNotNull(), F.least(F.lit(1.0), F.col("v") / F.get(whole, F.col("t"))))
     )
     names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    good = (F.col("s") >= MIN_SCORE) & F.get("has", F.col("t"))
+    there = F.exists(F.get("starts", F.col("t")), lambda x: F.abs(x - F.col("o")) <= SLACK)
+    good = (F.col("s") >= MIN_SCORE) & there
     done = scored.groupBy("rid").agg(
         *[F.first(c).alias(c) for c in fixed],
         F.max("s").alias("score"),

@@ -394,6 +394,13 @@ def test_licences(docs, spark):
     for i, (label, _, _) in enumerate(license_index.TEMPLATES):
         assert label in got[i].labels.split(",")
     assert all(got[100 + i].labels == "" for i, _ in filler)
+    # the phrase far from the rest of the notice gives no label, and near it does
+    body = "redistribution and use in source and binary forms"
+    notice = next(t for label, _, t in license_index.TEMPLATES if label == "bsd-text")
+    broken = notice.lower().replace("source and binary", "binary and source")
+    moved = [(1, broken + " " + _text(1, 60) + " " + body), (2, _text(2, 50) + " oh " + notice), (3, _text(3, 50) + " " + broken)]
+    got = {r.doc_id: r for r in license_index.scan(spark.createDataFrame(moved + [(100 + i, t) for i, t in filler], "doc_id long, text string")).collect()}
+    assert "bsd-text" not in got[1].labels and "bsd-text" in got[2].labels and "bsd-text" not in got[3].labels
 
 
 def test_languages_held_out(spark):
