@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components_of, connected_components, materialise
+from .common import components_of, connected_components, give_back, materialise
 
 SEED = 42
 SHINGLE = 4
@@ -59,7 +59,9 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    found = pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+    give_back()
+    return found
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
@@ -175,6 +177,7 @@ def _join_bucket(bits: int, radius: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         prints = np.frombuffer(b"".join(table.column("prints").to_pylist()), np.uint64)
         u, v = _in_bucket(key[0].as_py(), prints, bits, radius)
+        give_back()
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     return run
@@ -210,7 +213,9 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _components(own: DataFrame, radius: int) -> DataFrame:
     """fp, root, component_id: a row a fingerprint of ``own`` (doc_id, fp)."""
     prints = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(links_within(prints.select("fp"), radius)).toDF("fp", "root")
+    # written out, so that no task has two Python workers
+    links = materialise(links_within(prints.select("fp"), radius), "links")
+    roots = connected_components(links).toDF("fp", "root")
     placed = materialise(
         prints.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "placed"
     )

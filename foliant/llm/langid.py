@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, give_back
 
 ORDERS = 3
 BUCKET_BITS = 16
@@ -158,6 +158,7 @@ def language_of(docs: DataFrame, model: Model, text: str = "text") -> Column:
 
     def run(texts: pd.Series) -> pd.DataFrame:
         names, scores = predict([t if isinstance(t, str) else None for t in texts], held.value)
+        give_back()
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return F.pandas_udf(run, "lang_pred string, score double")(docs[text])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back, text_parts
 from .pieces import MODEL_PATH, Vocabulary, parse, read_model
 
 ALPHA = 1.0
@@ -312,6 +313,13 @@ class Sampler:
         self.n_seen = 0
         self.surfaces = pa.array(self.vocabulary.surfaces, pa.binary())
 
+    def rest(self) -> None:
+        """Keep the vocabulary only; the worker may idle."""
+        self.table.reset()
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.n_seen = 0
+        give_back()
+
     def starts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """First bytes of the chunks of texts that begin at ``rows``, each with a space put before it."""
         out = np.zeros(len(data), bool)
@@ -445,17 +453,6 @@ def _sampler(*key) -> Sampler:
     return _samplers[key]
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows (first, number) with about RUN_BYTES of text, one at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
-    upto, a = np.cumsum(sizes), 0
-    while a < len(sizes):
-        done = int(upto[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(upto, done + RUN_BYTES, side="right")))
-        yield a, b - a
-        a = b
-
-
 def with_pieces(
     docs: DataFrame, path: str = MODEL_PATH, alpha: float = ALPHA, seed: int = SEED, scores: str = "rank",
     text: str = "text", key: str = "doc_id",
@@ -473,7 +470,7 @@ def with_pieces(
         sampler = _sampler(model.value, alpha, seed, scores)
         for whole in batches:
             n = whole.num_columns
-            for a, size in _parts(whole.column(n - 2)):
+            for a, size in text_parts(whole.column(n - 2), RUN_BYTES):
                 batch = whole.slice(a, size)
                 texts = batch.column(n - 2)
                 found = sampler.encode(texts.to_pylist(), batch.column(n - 1).to_pylist())
@@ -484,6 +481,7 @@ def with_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[: n - 2], ids, again], names=[*batch.schema.names[: n - 2], "piece_ids", "lossless"]
                 )
+        sampler.rest()
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())]
     return own.mapInArrow(run, T.StructType([*docs.select(*kept).schema.fields, *fields]))
