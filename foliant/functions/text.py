@@ -288,12 +288,10 @@ def displaced_diaeresis(text: Column) -> Column:
 
 
 def url_spacing(text: Column) -> Column:
-    """FN23: spaces inside a printed address close up, in a fixed number of passes."""
+    """FN23: spaces inside a printed address close up, however many: one pass that goes on where it stopped."""
     out = F.regexp_replace(text, r"(?i)\b(https?)\s*:\s*/\s*/\s*", "$1://")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(https?://[^\s]*[/._-])\s+(?=[a-z0-9])", "$1")
-        out = F.regexp_replace(out, r"(https?://[^\s]*)\s+(?=[/._-][A-Za-z0-9])", "$1")
-    return out
+    join = r"(?:(?<=[/._-])\s+(?=[a-z0-9])|\s+(?=[/._-][A-Za-z0-9]))"
+    return F.regexp_replace(out, rf"((?:https?://|\G(?!\A))\S*?){join}", "$1")
 
 
 def join_source_parts(parts: Column) -> Column:
@@ -605,3 +603,64 @@ def token_coverage(a: Column, b: Column) -> Column:
         F.transform(F.array_distinct(own), lambda w: F.least(times(own, w), times(other, w))), F.lit(0), lambda s, x: s + x
     )
     return F.when(F.size(own) == 0, 0.0).otherwise(met / F.size(own))
+
+
+def ref_value(value: Column) -> Column:
+    """FN57: a graph reference, written as a string or as an object with ``$ref``; null otherwise."""
+    plain = strip(value)
+    return F.when(plain.startswith("{"), F.get_json_object(plain, "$['$ref']")).when(plain.startswith("#/"), plain)
+
+
+def content_layer(value: Column) -> Column:
+    """FN57: body where nothing else is said."""
+    return F.coalesce(F.nullif(F.lower(strip(value)), F.lit("")), F.lit("body"))
+
+
+def page_number(value: Column) -> Column:
+    """FN57: a whole number from 1 on, else null."""
+    n = F.when(strip(value).rlike(r"^\d{1,9}$"), strip(value).cast("int"))
+    return F.when(n >= 1, n)
+
+
+def number_or(value: Column, default: float) -> Column:
+    """FN57: a finite number, else the default."""
+    n = F.when(strip(value).rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,3})?$"), strip(value).cast("double"))
+    return F.coalesce(F.when(F.abs(n) < float("inf"), n), F.lit(float(default)))
+
+
+def relative_asset(value: Column) -> Column:
+    """FN57: a path with forward slashes and without a leading ``./``; null where it is not safe."""
+    plain = F.regexp_replace(F.replace(value, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
+    return F.when(is_safe_asset_path(plain), plain)
+
+
+def markdown_destination(target: Column, prefix: str = "") -> Column:
+    """RM09: a fragment as a (prefixed) anchor, a safe link in angle brackets where it has blanks; else null."""
+    plain = strip(target)
+    fragment = F.concat(F.lit(f"#{prefix}"), anchor_id(F.substring(plain, 2, 1_000_000)))
+    shown = F.when(plain.rlike(r"[\s()<>]"), F.concat(F.lit("<"), F.regexp_replace(plain, r"[<>\s]", "%20"), F.lit(">"))).otherwise(plain)
+    return F.when(plain.startswith("#"), F.when(F.length(plain) > 1, fragment)).when(is_safe_link(plain), shown)
+
+
+def inline_anchor(value: Column, prefix: str = "") -> Column:
+    """RM09."""
+    return F.concat(F.lit(f'<a id="{prefix}'), anchor_id(value), F.lit('"></a>'))
+
+
+def math_markdown(tex: Column, display: Column) -> Column:
+    """RM09: inline or display mathematics, as code where Markdown would misread it."""
+    t = strip(tex)
+    block = F.concat(F.lit("$$\n"), t, F.lit("\n$$"))
+    return F.when(display & is_safe_display_math(t), block).when(~display & is_safe_math(t), F.concat(F.lit("$"), t, F.lit("$"))).otherwise(inline_code(t))
+
+
+def media_fallback(alt: Column, title: Column, caption: Column) -> Column:
+    """RM10: what stands for a medium that cannot be shown: its own text, title or caption."""
+    first = F.coalesce(*[F.nullif(squeeze(F.coalesce(c, F.lit(""))), F.lit("")) for c in (alt, title, caption)], F.lit("media"))
+    return F.concat(F.lit("["), escape_markdown(first), F.lit("]"))
+
+
+def attribute_text(value: Column) -> Column:
+    """RM44: an attribute written as a JSON list or as a string, as one string."""
+    items = F.from_json(value, "array<string>")
+    return F.when(strip(value).startswith("[") & items.isNotNull(), F.array_join(items, " ")).otherwise(value)

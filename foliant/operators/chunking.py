@@ -118,3 +118,8 @@ def source_structure(units: DataFrame, by: list[str], section: str, text: str) -
     return units.groupBy(*by).agg(
         F.countDistinct(section).alias("sections"), F.count("*").alias("units"), F.sum(F.length(text)).cast("long").alias("characters")
     )
+
+
+def chunk_sizes(units: DataFrame, by: list[str], text: str) -> DataFrame:
+    """RM44: characters of each chunk."""
+    return units.groupBy(*by, "chunk").agg(F.sum(F.length(text)).cast("long").alias("size"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graph
+
 DIGEST = r"^[0-9a-f]{64}$"
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 RUN_ID = r"^[a-z0-9][a-z0-9-]{7,63}$"
@@ -120,16 +122,10 @@ def report_problem(report: Column, most: int = 64 * 1024, longest: int = 1000) -
     ])
 
 
-def active_objects(objects: DataFrame, edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """FLT25, RM36: action objects that can be reached from the document's root; default deny."""
-    reach = objects.where("is_root").select("doc_id", "object_id")
-    front = reach
-    for _ in range(rounds):
-        step = front.join(edges, ["doc_id", "object_id"]).select("doc_id", F.col("target_id").alias("object_id")).distinct()
-        front = step.join(reach, ["doc_id", "object_id"], "left_anti")
-        if front.isEmpty():
-            break
-        reach = reach.union(front)
+def active_objects(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """FLT25, RM36: action objects that can be reached from the document's root, however far; default deny."""
+    starts = objects.where("is_root").select("doc_id", "object_id")
+    reach = graph.reachable(starts, edges.select("doc_id", "object_id", "target_id"), "object_id", "target_id")
     return objects.join(reach, ["doc_id", "object_id"], "left_semi").where("action is not null and action not in ('GoTo','URI')")
 
 
@@ -213,3 +209,36 @@ def verified_assets(referenced: DataFrame, manifest: DataFrame, files: DataFrame
     """SNK10, RM35: referenced assets whose stored size and digest are the manifest's."""
     m = manifest.join(referenced.select("doc_id", "asset").distinct(), ["doc_id", "asset"], "left_semi")
     return m.join(files.select("doc_id", "asset", "bytes", "sha256"), ["doc_id", "asset", "bytes", "sha256"], "left_semi")
+
+
+def artifact_path_problem(path: Column, kind: Column, extensions: dict[str, list[str]]) -> Column:
+    """FLT19: an artifact's path is relative, stays below its root and has an extension of its kind."""
+    allowed = F.create_map(*[x for k, v in extensions.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    # what ".." steps take away must have been there before, whatever the number of steps
+    depth = F.aggregate(
+        F.split(path, "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")),
+        lambda a, s: F.struct(
+            (a["at"] + F.when(s == "..", -1).when(s.isin("", "."), 0).otherwise(1)).alias("at"),
+            F.least(a["least"], a["at"] + F.when(s == "..", -1).when(s.isin("", "."), 0).otherwise(1)).alias("least"),
+        ),
+    )
+    return first_problem([
+        ("empty", F.coalesce(path, F.lit("")) == ""), ("absolute", path.rlike(r"^(?:[/\\]|[A-Za-z][A-Za-z0-9+.-]*:)")),
+        ("character", path.rlike(r"[\x00-\x1F\\]")), ("outside", depth["least"] < 0),
+        ("extension", ~F.coalesce(F.array_contains(F.try_element_at(allowed, kind), extension), F.lit(False))),
+    ])
+
+
+def candidate_request(run_id: Column, source: Column, glossary_sha256: Column, outputs: list[str], max_pages: int, deadline_seconds: int) -> Column:
+    """RM39: the request of a candidate run; ``source`` has sha256, bytes, source_language and target_language."""
+    return F.struct(
+        run_id.alias("run_id"), *[source[c].alias(c) for c in ("sha256", "bytes", "source_language", "target_language")],
+        glossary_sha256.alias("glossary_sha256"), F.array(*map(F.lit, outputs)).alias("outputs"), F.lit(max_pages).alias("max_pages"),
+        F.lit(deadline_seconds).alias("deadline_seconds"),
+    )
+
+
+def provenance_mismatches(request: Column, result: Column, fields: list[str]) -> Column:
+    """RM39: names of the fields in which a result differs from its request; a missing value differs."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(request[f] == result[f], F.lit(False)), f) for f in fields]))

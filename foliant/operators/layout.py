@@ -527,3 +527,19 @@ def title_guess(candidates: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("ordinal")
     first = candidates.withColumn("__n", F.row_number().over(w)).where("__n <= 8 and length(text) < 220")
     return first.groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("ordinal"))).alias("title"))
+
+
+def set_recovered(blocks: DataFrame, recovered: DataFrame, by: list[str]) -> DataFrame:
+    """RM23: blocks found again take the recovered text and role, are shown, and lose their old warnings."""
+    new = recovered.select(*by, F.col("text").alias("__text"), F.col("role").alias("__role"), F.lit(True).alias("__found"))
+    found = F.coalesce(F.col("__found"), F.lit(False))
+    return blocks.join(new, by, "left").withColumns({
+        "text": F.when(found, F.col("__text")).otherwise(F.col("text")), "role": F.when(found, F.col("__role")).otherwise(F.col("role")),
+        "hidden": F.when(found, F.lit(False)).otherwise(F.col("hidden")),
+        "warnings": F.when(found, F.array().cast("array<string>")).otherwise(F.col("warnings")),
+    }).drop("__text", "__role", "__found")
+
+
+def flatten_visuals(pages: DataFrame) -> DataFrame:
+    """RM31: the visuals of each page (an array of structs) as rows with their page."""
+    return pages.select("doc_id", "page", F.posexplode("visuals").alias("k", "visual")).select("doc_id", "page", "k", "visual.*")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.text import canonical_reference, is_blank, is_local_asset
+from ..functions.text import canonical_reference, is_blank, is_local_asset, squeeze
 
 
 def _finding(rows: DataFrame, rule: str, subject: str) -> DataFrame:
@@ -86,3 +86,19 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
 def math_roles(math: DataFrame) -> DataFrame:
     """AG30: formulas inline, in rows, displayed, or literal."""
     return math.groupBy("doc_id").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("inline", "row", "display", "literal")])
+
+
+def unrepresented(expected: DataFrame, represented: DataFrame, by: list[str]) -> DataFrame:
+    """JN35: blocks that should stand in the document and do not."""
+    return expected.select(*by).distinct().join(represented.select(*by), by, "left_anti")
+
+
+def distinct_authors(authors: Column) -> Column:
+    """RM30: authors without blanks, first spelling of each, in order."""
+    plain = F.filter(F.transform(authors, squeeze), lambda a: a != "")
+    return F.filter(plain, lambda a, i: ~F.exists(F.slice(plain, 1, i), lambda b: F.lower(b) == F.lower(a)))
+
+
+def blank_assets(assets: DataFrame, least_bytes: int = 1) -> DataFrame:
+    """RM30: assets without content."""
+    return assets.where(F.coalesce(F.col("bytes"), F.lit(0)) < least_bytes)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_reference, is_blank, join_source_parts, squeeze
+from . import graph
 
 TRANSLATABLE = ["abstract", "paragraph", "list_item", "footnote"]
 FRONT = ["title", "author", "affiliation", "metadata"]
@@ -167,16 +168,9 @@ def translatable_units(documents: DataFrame, sections: DataFrame, units: DataFra
     return t.unionByName(s).unionByName(u).where(~is_blank(F.col("original")))
 
 
-def descendants(sections: DataFrame, rounds: int = 6) -> DataFrame:
-    """TR13: (doc_id, ancestor, section_id) pairs, transitive and safe against cycles; levels are six at most."""
-    up = sections.where("parent_section_id is not null").select("doc_id", F.col("parent_section_id").alias("ancestor"), "section_id").distinct()
-    known = up
-    for _ in range(rounds - 1):
-        step = known.select("doc_id", F.col("section_id").alias("mid"), "ancestor").join(
-            up.select("doc_id", F.col("ancestor").alias("mid"), "section_id"), ["doc_id", "mid"]
-        ).select("doc_id", "ancestor", "section_id")
-        known = known.union(step).distinct()
-    return known.where("ancestor <> section_id")
+def descendants(sections: DataFrame) -> DataFrame:
+    """TR13: (doc_id, ancestor, section_id) pairs, transitive to any depth and safe against cycles."""
+    return graph.ancestors(sections.select("doc_id", "section_id", "parent_section_id"), "section_id", "parent_section_id")
 
 
 def override_pages(base: DataFrame, reviewed: DataFrame, key: list[str]) -> DataFrame:
@@ -192,15 +186,15 @@ def override_sections(base: DataFrame, reviewed: DataFrame) -> DataFrame:
     return kept.unionByName(reviewed, allowMissingColumns=True).withColumn("ordinal", F.row_number().over(w))
 
 
-def reanchor(rows: DataFrame, parents: DataFrame, rounds: int = 8) -> DataFrame:
-    """WN20: rows whose anchor was suppressed move to the nearest surviving ancestor."""
-    p = parents.select("doc_id", F.col("block_id").alias("anchor"), F.col("parent_id").alias("__p"), F.col("survives").alias("__s"))
-    out = rows
-    for _ in range(rounds):
-        out = out.join(p, ["doc_id", "anchor"], "left").withColumn(
-            "anchor", F.when(F.coalesce("__s", F.lit(True)), F.col("anchor")).otherwise(F.col("__p"))
-        ).drop("__p", "__s")
-    return out
+def reanchor(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """WN20: rows whose anchor was suppressed move to the nearest surviving ancestor, null where there is none.
+
+    An anchor without a row in ``parents`` stays.
+    """
+    to = graph.surviving(parents.select("doc_id", "block_id", "parent_id", "survives"))
+    to = to.select("doc_id", F.col("block_id").alias("anchor"), F.col("anchor").alias("__to"), F.lit(True).alias("__known"))
+    out = rows.join(to, ["doc_id", "anchor"], "left")
+    return out.withColumn("anchor", F.when(F.col("__known"), F.col("__to")).otherwise(F.col("anchor"))).drop("__to", "__known")
 
 
 def is_references_section(title: Column, heading: Column) -> Column:

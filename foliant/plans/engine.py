@@ -1,15 +1,18 @@
 """The job tool surface over tables (UDF03, SRC05, RM01-RM02, RM15-RM17, UPS01-UPS05, UPS12, AG10).
 
-An ``Engine`` keeps units, chunks and translations of jobs as snapshots below one folder; each step reads a
-snapshot, derives the next with the operators and publishes it under a new version, so readers never see half
-a write.  The latest version is the one whose marker exists.
+An ``Engine`` keeps units, chunks and translations of jobs below one folder, as a base and the changes after it.
+A step reads what is complete, derives the changed units with the operators and writes them alone under a number
+that it claimed, so two writers never take the same one and readers never see half a write.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import chunking, contracts, html, markdown, translation
 from ..functions.text import invariant_warnings, is_blank
 
@@ -27,20 +30,52 @@ class Engine:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _versions(self) -> list[int]:
+    def _versions(self) -> tuple[int, list[int]]:
+        """The last base (0: none) and the changes after it that are complete."""
         fs, p = self._fs(self.root)
         if not fs.exists(p):
-            return []
+            return 0, []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and self._fs(f"{self.root}/{n}/_SUCCESS")[0].exists(self._fs(f"{self.root}/{n}/_SUCCESS")[1]))
+        done = [n for n in names if n[0] in "bv" and fs.exists(self._fs(f"{self.root}/{n}/_SUCCESS")[1])]
+        base = max((int(n[1:]) for n in done if n[0] == "b"), default=0)
+        return base, sorted(int(n[1:]) for n in done if n[0] == "v" and int(n[1:]) > base)
 
     def units(self) -> DataFrame:
-        v = self._versions()
-        return self.spark.read.schema(_UNITS).parquet(f"{self.root}/v{v[-1]}") if v else self.spark.createDataFrame([], _UNITS)
-
-    def _publish(self, units: DataFrame) -> None:
-        v = self._versions()
-        units.select(*[c.split()[0] for c in _UNITS.split(", ")]).write.parquet(f"{self.root}/v{(v[-1] if v else 0) + 1}")
+        """All units as they stand: of each one the row of the last change."""
+        base, changes = self._versions()
+        names = [f"b{base}"] * (base > 0) + [f"v{v}" for v in changes]
+        if not names:
+            return self.spark.createDataFrame([], _UNITS)
+        rows = [
+            self.spark.read.schema(_UNITS).parquet(f"{self.root}/{n}").withColumn("__at", F.lit(int(n[1:]))) for n in names
+        ]
+        if len(rows) == 1:
+            return rows[0].drop("__at")
+        columns = [c.split()[0] for c in _UNITS.split(", ")]
+        whole = reduce(DataFrame.unionByName, rows)
+        last = whole.groupBy("job_id", "unit_id").agg(F.max_by(F.struct(*columns), "__at").alias("u"))
+        return last.select("u.*")
+
+    def _claim(self) -> int:
+        """A number that no other writer has: whoever creates the file owns it."""
+        base, changes = self._versions()
+        n = max([base, *changes]) + 1
+        while True:
+            if storage.create_new(self.spark, f"{self.root}/claims/{n}"):
+                return n
+            n += 1
+
+    def _publish(self, units: DataFrame, kind: str = "v") -> None:
+        """Write changed units as a version of their own; readers see it once it is complete."""
+        n = self._claim()
+        units.select(*[c.split()[0] for c in _UNITS.split(", ")]).write.parquet(f"{self.root}/{kind}{n}")
+
+    def compact(self) -> None:
+        """Make one base of all changes and delete what it replaces; to be run while nobody reads or saves."""
+        base, changes = self._versions()
+        self._publish(self.units(), "b")
+        for name in [f"b{base}"] * (base > 0) + [f"v{v}" for v in changes]:
+            storage.delete(self.spark, f"{self.root}/{name}")
 
     # steps --------------------------------------------------------------------
 
@@ -59,7 +94,7 @@ class Engine:
         new = units.join(have.select("job_id").distinct(), "job_id", "left_anti")
         packed = chunking.pack_sections(new, ["job_id"], "pos", "section_id", F.length("original"), self.most).select(*new.columns, "chunk")
         packed = packed.withColumns({"japanese": F.lit(""), "saved_at": F.lit(None).cast("timestamp"), "warnings": F.array().cast("array<string>")})
-        self._publish(have.unionByName(packed))
+        self._publish(packed)
 
     def status(self) -> DataFrame:
         """AG10, RM16: progress of each job."""
@@ -87,7 +122,7 @@ class Engine:
         if problems:
             return problems
         s = saved.select(F.lit(job_id).alias("job_id"), "unit_id", F.col("japanese").alias("__ja"), F.col("saved_at").alias("__at"))
-        out = units.join(s, ["job_id", "unit_id"], "left")
+        out = own.join(s, ["job_id", "unit_id"])  # the chunk's changed units only
         warned = translation.ordered_distinct(F.col("warnings"), invariant_warnings(F.col("original"), F.col("__ja")))
         self._publish(out.withColumns({
             "warnings": F.when(F.col("__ja").isNotNull(), warned).otherwise(F.col("warnings")),

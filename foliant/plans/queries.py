@@ -39,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
 
 # --------------------------------------------------------------------------- library
 
-_PAPERS = """papers as (select doc_id, substr(text, 1, 40) as title, source as tag, lang,
+_PAPERS = """papers as (select doc_id, text as title, source as tag, lang,
   case doc_id % 7 when 0 then 'preparing' when 1 then 'prepared' when 2 then 'translating' when 3 then 'needs_review'
     when 4 then 'failed' else 'completed' end as status,
   case when quality is null then 'missing' when quality = 1 then 'passed' else 'failed' end as qa_status,
@@ -51,7 +51,7 @@ _REVIEW = "(status in ('needs_review','failed') or qa_status = 'failed' or (stat
 def _papers(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     status = F.element_at(F.array(*map(F.lit, ["preparing", "prepared", "translating", "needs_review", "failed", "completed", "completed"])), (F.col("doc_id") % 7 + 1).cast("int"))
-    papers = d.select("doc_id", F.substring("text", 1, 40).alias("title"), "lang", status.alias("status"), "n_chars")
+    papers = d.select("doc_id", F.col("text").alias("title"), "lang", status.alias("status"), "n_chars")
     progress = d.select("doc_id", (F.col("doc_id") % 11).alias("completed"), F.lit(10).alias("total"))
     qa = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 1, "passed").otherwise("failed").alias("qa_status"), "toxic")
     state = d.select("doc_id", F.array("source").alias("tags"), (F.col("doc_id") % 3 == 0).alias("is_read"), F.lit(None).cast("boolean").alias("favorite"))
@@ -183,12 +183,12 @@ def source_structure(spark, sf):
 # --------------------------------------------------------------------------- translation contract
 
 
-@query("""with want as (select item_id as id, 1 as n from benchmark), have as (select doc_id as id, 1 + cast(doc_id % 13 = 0 as integer) as n from documents where doc_id % 3 <> 0 and doc_id < 60)
+@query("""with want as (select item_id as id, 1 as n from benchmark), have as (select case when doc_id % 3 = 0 then -1 - doc_id else doc_id end as id, 1 + cast(doc_id % 13 = 0 as integer) as n from documents)
   select id, case when h.n is null then 'missing' when w.n is null then 'unknown' else 'duplicate' end as problem from want w full join have h using (id)
   where h.n is null or w.n is null or h.n > w.n""")
 def translation_identity(spark, sf):
     want = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
-    have = table(spark, sf, "documents").where("doc_id % 3 <> 0 and doc_id < 60").select(F.explode(F.array_repeat("doc_id", F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1))).alias("id"))
+    have = table(spark, sf, "documents").select("doc_id", F.expr("if(doc_id % 3 = 0, -1 - doc_id, doc_id)").alias("k")).select(F.explode(F.array_repeat("k", F.when(F.col("doc_id") % 13 == 0, 2).otherwise(1))).alias("id"))
     return translation.identity_problems(want, have, [], "id")
 
 
@@ -245,24 +245,30 @@ def token_usage(spark, sf):
 
 # --------------------------------------------------------------------------- scalar text
 
-_MARK = "concat(substr(text, 1, 60), ' [', doc_id % 9 + 1, '] Figure ', doc_id % 5 + 1, ' and Table ', doc_id % 3 + 1, ' Figure ', doc_id % 5 + 1)"
+_MARK = "concat(text, ' [', doc_id % 9 + 1, '] Figure ', doc_id % 5 + 1, ' and Table ', doc_id % 3 + 1, ' Figure ', doc_id % 5 + 1)"
 
 
 def _marked(spark, sf):
     n = lambda k: (F.col("doc_id") % k + 1).cast("string")
-    m = F.concat(F.substring("text", 1, 60), F.lit(" ["), n(9), F.lit("] Figure "), n(5), F.lit(" and Table "), n(3), F.lit(" Figure "), n(5))
+    m = F.concat("text", F.lit(" ["), n(9), F.lit("] Figure "), n(5), F.lit(" and Table "), n(3), F.lit(" Figure "), n(5))
     return table(spark, sf, "documents").select("doc_id", "text", m.alias("m"))
 
 
-@query(f"select doc_id, array_to_string(list_distinct(regexp_extract_all({_MARK}, '\\[[0-9]+\\]')), '|') as found from documents")
+_CITED = [p.replace("'", "''") for p in (X.NUMERIC_CITATION, X.AUTHOR_YEAR_CITATION)]
+_OBJECT = X.OBJECT_REFERENCE.replace("'", "''")
+
+
+@query(f"""select doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(m, '{_CITED[0]}'), regexp_extract_all(m, '{_CITED[1]}')))), '|') as found
+  from (select doc_id, {_MARK} as m from documents)""")
 def citations(spark, sf):
-    return _marked(spark, sf).select("doc_id", F.array_join(X.citations(F.col("m")), "|").alias("found"))
+    return _marked(spark, sf).select("doc_id", F.array_join(F.array_sort(X.citations(F.col("m"))), "|").alias("found"))
 
 
-@query("select doc_id, concat('Figure ', doc_id % 5 + 1, '|Table ', doc_id % 3 + 1) as found, concat('figure ', doc_id % 5 + 1) as first from documents")
+@query(f"""select doc_id, array_to_string(list_sort(list_distinct(r)), '|') as found, regexp_replace(regexp_replace(lower(r[1]), '^fig(ure|[.])? *[(]?', 'figure '), '[)]$', '') as first
+  from (select doc_id, regexp_extract_all({_MARK}, '{_OBJECT}') as r from documents)""")
 def object_refs(spark, sf):
     r = X.object_references(F.col("m"))
-    return _marked(spark, sf).select("doc_id", F.array_join(r, "|").alias("found"), X.canonical_reference(F.get(r, F.lit(0))).alias("first"))
+    return _marked(spark, sf).select("doc_id", F.array_join(F.array_sort(r), "|").alias("found"), X.canonical_reference(F.get(r, F.lit(0))).alias("first"))
 
 
 @query("select doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t\\n]*', ' ', 'g'), '[ \\t]+', ' ', 'g')) as clean from documents")
@@ -270,9 +276,9 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("clean"))
 
 
-@query("select doc_id, concat('sec-', coalesce(nullif(substr(trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), ''), 'section')) as slug from documents")
+@query("select doc_id, concat('sec-', coalesce(nullif(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), ''), 'section')) as slug from documents")
 def slug(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.section_slug(F.lit(None).cast("string"), F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.section_slug(F.lit(None).cast("string"), F.col("text")).alias("slug"))
 
 
 @query("select doc_id, regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as furniture from documents")
@@ -280,12 +286,12 @@ def canonical_furniture(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.canonical_furniture(F.col("text")).alias("furniture"))
 
 
-@query("""with s as (select doc_id, coalesce(nullif(trim(regexp_replace(substr(text, 1, 3), '[^A-Za-z0-9_.:-]+', '-', 'g'), '-'), ''), 'block') as base from documents)
+@query("""with s as (select doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[^A-Za-z0-9_.:-]+', '-', 'g'), '-'), ''), 'block') as base from documents)
   select doc_id, case when row_number() over w = 1 then base else concat(base, '-', row_number() over w) end as anchor from s window w as (partition by base order by doc_id)""")
 def anchor_suffix(spark, sf):
     from ..operators import markdown
 
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 3).alias("anchor"), F.col("doc_id").alias("pos"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("anchor"), F.col("doc_id").alias("pos"))
     return markdown.unique_anchors(d.withColumnRenamed("doc_id", "id").withColumn("doc_id", F.lit("all"))).select(F.col("id").alias("doc_id"), "anchor")
 
 
@@ -346,31 +352,31 @@ def duplicates(spark, sf):
     return d.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-_RECTS = "select p_partkey as id, p_size % 7 as page, p_partkey % 83 / 100.0 as x0, p_partkey % 61 / 100.0 as y0, p_partkey % 83 / 100.0 + 0.05 + p_size / 400.0 as x1, p_partkey % 61 / 100.0 + 0.08 as y1 from part where p_partkey <= 1000"
+_RECTS = "select p_partkey as id, p_partkey // 200 as doc, p_size % 7 as page, p_partkey % 83 / 100.0 as x0, p_partkey % 61 / 100.0 as y0, p_partkey % 83 / 100.0 + 0.05 + p_size / 400.0 as x1, p_partkey % 61 / 100.0 + 0.08 as y1 from part"
 
 
 def _rects(spark, sf):
     k = F.col("p_partkey")
     x0, y0 = k % 83 / 100.0, k % 61 / 100.0
-    return table(spark, sf, "part").where("p_partkey <= 1000").select(
-        k.alias("id"), F.lit("d").alias("doc_id"), (F.col("p_size") % 7).alias("page"),
+    return table(spark, sf, "part").select(
+        k.alias("id"), F.expr("p_partkey div 200").alias("doc_id"), (F.col("p_size") % 7).alias("page"),
         G.rect(x0, y0, x0 + 0.05 + F.col("p_size") / 400.0, y0 + 0.08).alias("bbox_norm"),
     )
 
 
-@query(f"""with r as ({_RECTS}) select a.id, b.id as other from r a join r b on a.page = b.page and a.id < b.id
+@query(f"""with r as ({_RECTS}) select a.id, b.id as other from r a join r b on a.doc = b.doc and a.page = b.page and a.id < b.id
   and greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / ((a.x1 - a.x0) * (a.y1 - a.y0)) > 0.625""")
 def spatial_pairs(spark, sf):
     r = _rects(spark, sf)
     return layout.spatial_join(r, r, lambda a, b: G.overlap_ratio(a, b) > 0.625).where("id < r_id").select("id", F.col("r_id").alias("other"))
 
 
-@query(f"""with r as ({_RECTS}) select id from r a where not exists (select 1 from r b where a.page = b.page and b.id % 10 = 0 and a.id <> b.id
+@query(f"""with r as ({_RECTS}) select id from r a where not exists (select 1 from r b where a.doc = b.doc and a.page = b.page and a.id <> b.id
   and (a.x0 + a.x1) / 2 between b.x0 - 0.004 and b.x1 + 0.004 and (a.y0 + a.y1) / 2 between b.y0 - 0.004 and b.y1 + 0.004)""")
 def spatial_anti(spark, sf):
     r = _rects(spark, sf)
-    tops = r.where("id % 10 = 0").select(*[F.col(c).alias(f"r_{c}") for c in r.columns])
-    on = (r["page"] == tops["r_page"]) & (r["id"] != tops["r_id"]) & G.center_inside(r["bbox_norm"], tops["r_bbox_norm"])
+    tops = r.select(*[F.col(c).alias(f"r_{c}") for c in r.columns])
+    on = (r["doc_id"] == tops["r_doc_id"]) & (r["page"] == tops["r_page"]) & (r["id"] != tops["r_id"]) & G.center_inside(r["bbox_norm"], tops["r_bbox_norm"])
     return r.join(tops, on, "left_anti").select("id")
 
 

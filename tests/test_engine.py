@@ -48,4 +48,6 @@ def test_engine(spark, tmp_path):
         assert e.save("j", chunk, rows) == [] and e.save("j", chunk, rows) == []
     assert {r.problem for r in e.save("j", 1, e.units().where("chunk = 1").select("unit_id", F.lit("other").alias("japanese")))} == {"conflict"}
     assert e.next_chunks().count() == 0 and e.fingerprint() == print_
+    e.compact()
+    assert e.fingerprint() == print_ and e.status().first()["remaining"] == 0
     assert e.finalize().first()["markdown"].startswith('<a id="html-0001"></a>\n\n# ') or "訳 Title" in e.finalize().first()["markdown"]

@@ -1,12 +1,13 @@
 """Relational operators on frames shaped like the fixtures."""
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry as G
-from foliant.operators import chunking, contracts, evaluation, events, graph, html, layout, library, markdown, qa, semantic, translation
+from foliant.operators import chunking, contracts, evaluation, events, graph, html, layout, library, markdown, plugins, qa, semantic, translation
 from foliant.sources import readers, sinks
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
@@ -257,7 +258,7 @@ def test_budget_is_sticky(spark):
 def test_graph(spark):
     items = spark.createDataFrame([("d", r, layer) for r, layer in [("a", "body"), ("b", "body"), ("c", "body"), ("h", "furniture"), ("o", "body")]], "doc_id string, ref string, content_layer string")
     e = spark.createDataFrame([("d", "#/body", 1, "b"), ("d", "#/body", 0, "a"), ("d", "a", 0, "c"), ("d", "c", 0, "a")], "doc_id string, parent_ref string, ordinal int, child_ref string")
-    got = graph.walk(items, e).orderBy("order_class", "path", "ref")
+    got = graph.walk(items, e).orderBy("order_class", "visit", "ref")
     assert [r.ref for r in got.collect()] == ["a", "c", "b", "o", "h"]
     p = spark.createDataFrame([("d", "t", 0, 1, 0, 5), ("d", "t", 1, 2, 6, 11)], "doc_id string, ref string, ordinal int, page int, span_start int, span_end int")
     s = graph.partition_spans(p, spark.createDataFrame([("d", "t", "hello world")], "doc_id string, ref string, text string"))
@@ -292,3 +293,84 @@ def test_descendants_and_overrides(spark):
     assert {("a", "b"), ("a", "c"), ("b", "c")} <= set(rows(semantic.descendants(s), "ancestor", "section_id"))
     base = spark.createDataFrame([("d", 1, "old"), ("d", 2, "old")], "doc_id string, page int, v string")
     assert rows(semantic.override_pages(base, spark.createDataFrame([("d", 2, "new")], base.schema), []), "page", "v") == [(1, "old"), (2, "new")]
+
+
+def test_closures_have_no_depth_limit(spark):
+    n = 120
+    chain = [("d", f"n{i}", 0, f"n{i + 1}") for i in range(n)] + [("d", f"n{n}", 0, "n0"), ("d", "#/body", 0, "n0")]
+    e = spark.createDataFrame(chain, "doc_id string, parent_ref string, ordinal int, child_ref string")
+    items = spark.createDataFrame([("d", f"n{i}", "body") for i in range(n + 1)], "doc_id string, ref string, content_layer string")
+    assert [r.ref for r in graph.walk(items, e).orderBy("visit").collect()] == [f"n{i}" for i in range(n + 1)]
+    o = spark.createDataFrame([("d", i, "Launch" if i == n else None, i == 0) for i in range(n + 1)], "doc_id string, object_id int, action string, is_root boolean")
+    links = spark.createDataFrame([("d", i, i + 1) for i in range(n)] + [("d", n, 0)], "doc_id string, object_id int, target_id int")
+    assert rows(contracts.active_objects(o, links), "object_id") == [(n,)]
+    s = spark.createDataFrame([("d", f"s{i}", f"s{i - 1}" if i else None) for i in range(n)], "doc_id string, section_id string, parent_section_id string")
+    assert semantic.descendants(s).count() == n * (n - 1) // 2
+    p = spark.createDataFrame([("d", i, i - 1 if i else None, i == 0) for i in range(n)] + [("d", 900, 901, False), ("d", 901, 900, False)], "doc_id string, block_id int, parent_id int, survives boolean")
+    r = spark.createDataFrame([("d", "a", n - 1), ("d", "b", 900), ("d", "c", 77777), ("d", "x", None)], "doc_id string, row string, anchor int")
+    assert rows(semantic.reanchor(r, p), "row", "anchor") == [("a", 0), ("b", None), ("c", 77777), ("x", None)]
+    v = spark.createDataFrame([("d", "n10")], "doc_id string, ref string")
+    gone = graph.suppressed(e, v, spark.createDataFrame([("d", "n50")], v.schema), spark.createDataFrame([("d", "n100")], v.schema))
+    free = {f"n{i}" for i in [*range(100, n + 1), *range(10)]}
+    assert {r.ref for r in gone.collect()} == {f"n{i}" for i in range(11, n + 1)} - free - {"n50"}
+
+
+def test_furniture_is_inherited_and_the_rest_follows(spark):
+    items = spark.createDataFrame([("d", "a", None), ("d", "f", "furniture"), ("d", "g", None), ("d", "z", None), ("d", "k", None)], "doc_id string, ref string, content_layer string")
+    e = spark.createDataFrame([("d", "#/body", 0, "f"), ("d", "f", 0, "g"), ("d", "#/body", 1, "a"), ("d", "#/furniture", 0, "k"), ("d", "a", 0, "nowhere")], "doc_id string, parent_ref string, ordinal int, child_ref string")
+    got = {r.ref: (r.visit, r.order_class) for r in graph.walk(items, e).collect()}
+    assert got == {"f": (1, 2), "g": (2, 2), "a": (3, 0), "k": (4, 2), "z": (None, 1)}
+    d = spark.createDataFrame([("b", 1, None, 0.0, 0.0), ("a", None, 2, 0.5, 0.0), ("c", None, None, 0.0, 0.0), ("e", None, 2, 0.1, 0.9)], "ref string, visit int, page int, y double, x double")
+    assert [r.ref for r in d.orderBy(*graph.fallback_order(*[F.col(c) for c in ("visit", "page", "y", "x", "ref")])).collect()] == ["b", "e", "a", "c"]
+
+
+def test_locks_have_one_owner(spark, tmp_path):
+    path = f"file://{tmp_path}/lock"
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda k: sinks.claim(spark, path, f"o{k}"), range(6)))
+    assert sum(got) == 1
+    owner = f"o{got.index(True)}"
+    assert not sinks.release(spark, path, "somebody") and not sinks.claim(spark, path, "late")
+    assert sinks.claim(spark, path, "late", stale_seconds=-1) and not sinks.release(spark, path, owner)
+    assert sinks.release(spark, path, "late") and sinks.claim(spark, path, "next")
+
+
+def test_plugins_capture_failures(spark):
+    papers = spark.createDataFrame([("p", b"two words"), ("q", b"bad")], "doc_id string, content binary")
+
+    def words(content):
+        if content == b"bad":
+            raise ValueError("no")
+        return [(1, f"b{i}", "body", w, 0.5) for i, w in enumerate(content.decode().split())]
+
+    blocks = plugins.run_parsers(papers, {"words": words, "one": lambda c: [(1, "b", "body", c.decode(), 1.0)]})
+    assert rows(plugins.parser_status(blocks), "parser", "papers", "failed", "blocks") == [("one", 2, 0, 2), ("words", 2, 1, 2)]
+    assert rows(blocks.where("error is not null"), "doc_id", "error") == [("q", "ValueError")]
+
+    def reviewer(request):
+        if '"page":2' in request or not request.startswith('{"page"'):
+            raise KeyError(request)
+        return "fine"
+
+    asked = spark.createDataFrame([("p", [1, 2, 3], "[]")], "doc_id string, pages array<int>, request string")
+    assert rows(plugins.review_pages(asked, reviewer), "page", "proposal", "error") == [(1, "fine", None), (2, None, "KeyError"), (3, "fine", None)]
+    base = spark.createDataFrame([("p", 1, "old"), ("p", 2, "old")], "doc_id string, page int, v string")
+    sure = spark.createDataFrame([("p", 1, 0.9), ("p", 2, 0.1)], "doc_id string, page int, confidence double")
+    assert rows(plugins.selective_review(base, sure, lambda weak: weak.withColumn("v", F.lit("new"))), "page", "v") == [(1, "old"), (2, "new")]
+
+
+def test_paths_requests_and_recovered_blocks(spark):
+    d = spark.createDataFrame([("a/b.html", "html"), ("../x.html", "html"), ("a/../../x.html", "html"), ("/x.html", "html"), ("a/b.md", "html"), ("", "html"), ("C:x.html", "html"), ("a\\b.html", "html"), ("a/../b.HTML", "html")], "p string, k string")
+    got = [r.x for r in d.select(contracts.artifact_path_problem(F.col("p"), F.col("k"), {"html": ["html"]}).alias("x")).collect()]
+    assert got == [None, "outside", "outside", "absolute", "extension", "empty", "absolute", "character", None]
+    s = spark.createDataFrame([("r", ("x", 5, "en", "ja"), ("x", 6, "en", None))], "run string, s struct<sha256:string,bytes:long,source_language:string,target_language:string>, t struct<sha256:string,bytes:long,source_language:string,target_language:string>")
+    r = s.select(contracts.candidate_request(F.col("run"), F.col("s"), F.lit("g"), ["mono"], 3, 60).alias("q"), "s", "t").select("q.*", contracts.provenance_mismatches(F.col("s"), F.col("t"), ["sha256", "bytes", "target_language"]).alias("m")).first()
+    assert (r.run_id, r.bytes, r.outputs, r.m) == ("r", 5, ["mono"], ["bytes", "target_language"])
+    b = spark.createDataFrame([(1, "old", "x", True, ["w"]), (2, "two", "y", True, ["w"])], "id int, text string, role string, hidden boolean, warnings array<string>")
+    new = spark.createDataFrame([(1, "new", "body")], "id int, text string, role string")
+    assert rows(layout.set_recovered(b, new, ["id"]), "text", "role", "hidden", "warnings") == [("new", "body", False, []), ("two", "y", True, ["w"])]
+    p = spark.createDataFrame([("d", 3, [(1, "f"), (2, "t")])], "doc_id string, page int, visuals array<struct<v:int,kind:string>>")
+    assert rows(layout.flatten_visuals(p), "page", "k", "v", "kind") == [(3, 0, 1, "f"), (3, 1, 2, "t")]
+    assert spark.range(1).select(qa.distinct_authors(F.array(F.lit("A  B"), F.lit(" "), F.lit("a b"), F.lit("C")))).first()[0] == ["A B", "C"]
+    x = spark.createDataFrame([("d", 1), ("d", 1), ("d", 2)], "doc_id string, b int")
+    assert rows(qa.unrepresented(x, x.where("b = 2"), ["doc_id", "b"]), "b") == [(1,)]

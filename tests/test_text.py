@@ -127,3 +127,25 @@ def test_rectangles(value):
     assert s("figure", G.rect(0.1, 0.5, 0.2, 0.55), G.rect(0.8, 0.2, 0.9, 0.5)) == -1
     assert tuple(value(G.from_bottom_left(G.rect(1, 2, 3, 5), F.lit(10.0)))) == (1, 5, 3, 8)
     assert value(G.box_matches(a, G.rect(0.05, 0, 2, 2.09))) and not value(G.box_matches(a, b)) and value(G.side_by_side(G.rect(0, 0, 1, 1), G.rect(1.05, 0, 2.05, 1)))
+
+
+def test_coercions_and_markdown_bits(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    L = F.lit
+    assert [one(X.ref_value(L(v))) for v in ('{"$ref": "#/a/1"}', "#/b", "b")] == ["#/a/1", "#/b", None]
+    assert [one(X.content_layer(L(v))) for v in (" Furniture ", "", None)] == ["furniture", "body", "body"]
+    assert [one(X.page_number(L(v))) for v in ("3", "0", "-1", "x", "1.5")] == [3, None, None, None, None]
+    assert [one(X.number_or(L(v), 2)) for v in ("1e2", "nan", "", "-.5")] == [100.0, 2.0, 2.0, -0.5]
+    assert [one(X.relative_asset(L(v))) for v in ("./a\\b.png", "../x", "https://x")] == ["a/b.png", None, None]
+    assert [one(X.markdown_destination(L(v), "p-")) for v in ("#a b", "#", "https://x.org/a b", "javascript:x", "a.html")] == ["#p-a-b", None, "<https://x.org/a%20b>", None, "a.html"]
+    assert one(X.inline_anchor(L("x y"))) == '<a id="x-y"></a>'
+    assert [one(X.math_markdown(L(t), L(d))) for t, d in (("x^2", False), ("x^2", True), ("a`b", False))] == ["$x^2$", "$$\nx^2\n$$", "``a`b``"]
+    assert [one(X.media_fallback(L(a), L(b), L("cap"))) for a, b in (("", None), ("a*b", "t"))] == ["[cap]", "[a\\*b]"]
+    assert [one(X.attribute_text(L(v))) for v in ('["a","b"]', "a b", "[x")] == ["a b", "a b", "[x"]
+
+
+def test_addresses_close_up_however_many_spaces(spark):
+    one = lambda t: spark.range(1).select(X.url_spacing(F.lit(t))).first()[0]
+    long = "see https : // a.org" + "".join(f"/ p{i}" for i in range(30)) + " end"
+    assert one(long) == "see https://a.org" + "".join(f"/p{i}" for i in range(30)) + " end"
+    assert one("https://a .org and B / c") == "https://a.org and B / c" and one("a. b https://x.org/ Y") == "a. b https://x.org/ Y"
