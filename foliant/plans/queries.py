@@ -6,8 +6,6 @@ lack are derived from their keys, alike on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,26 +14,9 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import chunking, contracts, evaluation, events, html, layout, library, semantic, translation
 from ..session import table
+from .registry import oracle_sql, queries, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _ALL.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _ALL.items() if s}
-
+__all__ = ["oracle_sql", "queries"]
 
 # --------------------------------------------------------------------------- library
 
@@ -559,3 +540,7 @@ def content_order(spark, sf):
     u = d.select(F.col("source").alias("doc_id"), F.format_string("%012d", "doc_id").alias("unit_id"), F.col("n_chars").alias("position"))
     v = u.limit(0).select("doc_id", F.col("unit_id").alias("object_id"), "position", F.lit(1).alias("page"), G.rect(0.0, 0.0, 1.0, 1.0).alias("bbox_norm"))
     return semantic.content_order(u, v).select(F.col("id").cast("long").alias("doc_id"), F.lit("front_or_body").alias("kind"), F.col("ordinal").cast("long").alias("ordinal"))
+
+
+# the other modules register theirs
+from . import scalar_queries  # noqa: E402, F401
