@@ -543,4 +543,4 @@ def content_order(spark, sf):
 
 
 # the other modules register theirs
-from . import scalar_queries  # noqa: E402, F401
+from . import relation_queries, scalar_queries  # noqa: E402, F401
