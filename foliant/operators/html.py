@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import has_unsafe_css, has_unsafe_scheme, is_local_asset, squeeze
+from ..storage import materialise
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -73,25 +74,47 @@ class _Builder(HTMLParser):
             self._add("text", None, None, data)
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["node_id", "parent_id", "ordinal", "depth", "pre", "post", "type", "tag", "attrs", "text"]
-    for frame in frames:
-        for doc, html in zip(frame["doc_id"], frame["html"], strict=True):
+_FIELDS = [
+    ("doc_id", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("pre", pa.int64()), ("post", pa.int64()),
+    ("type", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+]
+#: Nodes of an output batch, about.
+BATCH_NODES = 20_000
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[list] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+
+    for batch in batches:
+        for doc, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             b = _Builder()
             b.feed(html or "")
             b.close()
             while b.stack:
                 b._close()
-            if b.rows:
-                out = pd.DataFrame(b.rows, columns=names)
-                out["parent_id"] = out["parent_id"].astype("Int64")
-                out.insert(0, "doc_id", doc)
-                yield out
+            for row in b.rows:
+                if row[8] is not None:
+                    row[8] = list(row[8].items())
+                held.append([doc, *row])
+            if len(held) >= BATCH_NODES:
+                yield flush()
+    if held:
+        yield flush()
 
 
 def parse_html(pages: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
     """TR01, TR07: pages to node rows; comments are dropped, text is decoded."""
-    return pages.select(F.col(doc).cast("string").alias("doc_id"), F.col(html).alias("html")).mapInPandas(_parse, NODES)
+    return pages.select(F.col(doc).cast("string").alias("doc_id"), F.col(html).alias("html")).mapInArrow(_parse, NODES)
+
+
+def node_table(pages: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
+    """The node rows written out once, for operators that read them several times."""
+    return materialise(parse_html(pages, doc, html), "nodes")
 
 
 def inner_html(nodes: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ class Engine:
     def acquire(self, pages: DataFrame) -> DataFrame:
         """SRC05, RM01: official pages, parsed and sanitised, as translation units with their sections."""
         fine = pages.where(contracts.page_origin_problem(F.col("url")).isNull())
-        nodes = html.sanitize(html.parse_html(fine, "job_id"))
+        nodes = storage.materialise(html.sanitize(html.node_table(fine, "job_id")), "clean")
         own = html.section_of(nodes, html.unit_nodes(nodes))
         return own.select(F.col("doc_id").alias("job_id"), "unit_id", F.col("pre").cast("int").alias("pos"), "section_id", "kind", F.col("source_text").alias("original"))
 

@@ -513,11 +513,15 @@ def html_nodes(spark, sf):
 
 @query()
 def html_units(spark, sf):
-    n = html.parse_html(table(spark, sf, "pages").withColumn("doc_id", F.col("page_id").cast("string")))
+    n = html.node_table(table(spark, sf, "pages").withColumn("doc_id", F.col("page_id").cast("string")))
     return html.unit_nodes(n).select("doc_id", "unit_id", "kind", "source_text")
 
 
-@query()
+@query("""with l as (select conv_id, turn, role, k, regexp_replace(regexp_replace(regexp_replace(x, '([\\\\`*_\\[\\]<>|~$])', '\\\\\\1', 'g'), '^(\\s*)([#+\\-])(\\s|$|#)', '\\1\\\\\\2\\3'), '^(\\s*[0-9]+)([.)])(\\s|$)', '\\1\\\\\\2\\3') as x
+    from (select conv_id, turn, role, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as k from (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from conversations))),
+  b as (select conv_id, turn, role, string_agg(x, chr(10) order by k) as t from l group by all),
+  m as (select conv_id, turn, concat('<a id="u', turn, '"></a>', chr(10), chr(10), case when role = 'user' then '## ' else '' end, t) as piece from b)
+  select conv_id as doc_id, concat(rtrim(string_agg(piece, chr(10) || chr(10) order by turn), ' ' || chr(10) || chr(9)), chr(10)) as markdown from m group by conv_id""")
 def markdown_documents(spark, sf):
     from ..operators import markdown
 

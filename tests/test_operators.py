@@ -1,6 +1,8 @@
 """Relational operators on frames shaped like the fixtures."""
 
 import datetime as dt
+import html as entities
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -374,3 +376,31 @@ def test_paths_requests_and_recovered_blocks(spark):
     assert spark.range(1).select(qa.distinct_authors(F.array(F.lit("A  B"), F.lit(" "), F.lit("a b"), F.lit("C")))).first()[0] == ["A B", "C"]
     x = spark.createDataFrame([("d", 1), ("d", 1), ("d", 2)], "doc_id string, b int")
     assert rows(qa.unrepresented(x, x.where("b = 2"), ["doc_id", "b"]), "b") == [(1,)]
+
+
+def test_nodes_say_what_the_page_says(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("doc_id", F.col("page_id").cast("string"))
+    nodes = {}
+    for r in html.parse_html(pages).orderBy("doc_id", "pre").collect():
+        nodes.setdefault(r.doc_id, []).append(r)
+    for p in pages.collect():
+        source = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "", p.html or "")
+        own = nodes.get(p.doc_id, [])
+        scripts = re.findall(r"(?s)<(?:script|style)[^>]*>(.*?)</(?:script|style)>", source)
+        plain = re.sub(r"(?s)(<(script|style)[^>]*>).*?(</\2>)", r"\1\3", source)
+        tags = [t.lower() for t in re.findall(r"<([a-zA-Z][a-zA-Z0-9]*)", plain)]
+        assert [r.tag for r in own if r.type == "element"] == tags
+        text = "".join(r.text for r in own if r.type == "text" and r.text not in scripts)
+        assert text == entities.unescape(re.sub(r"<[^>]+>", "", plain))
+        up = {r.node_id: r for r in own}
+        for r in own:
+            if r.parent_id is not None:
+                q = up[r.parent_id]
+                assert q.pre < r.pre <= r.post <= q.post and r.depth == q.depth + 1
+
+
+def test_units_are_headings_and_paragraphs_of_the_article(spark):
+    page = "<nav><p>menu</p></nav><article><h1>A &amp; b</h1><p>one <b>two</b></p><figure><p>fig</p></figure><p>12 34</p><p>last</p></article><p>out</p>"
+    n = html.node_table(spark.createDataFrame([("d", page), ("e", None)], "doc_id string, html string"))
+    got = html.unit_nodes(n).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.kind, r.source_text) for r in got] == [("html-0001", "heading", "A & b"), ("html-0002", "paragraph", "one two"), ("html-0003", "paragraph", "last")]
