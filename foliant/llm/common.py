@@ -1,60 +1,26 @@
 """Shared pieces of the training-data operators.
 
-Words are maximal runs of anything but the six ASCII white-space characters.  Tables that cut
-lineage are written to the folder that the cluster names in ``spark.checkpoint.dir``.
+Words are maximal runs of anything but the six ASCII white-space characters.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = "[ \\t-\\r]+"
-
-_own_folder: dict[str, str] = {}
+from ..storage import discard, materialise
 
+__all__ = ["discard", "materialise"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
-    return _own_folder[app]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/foliant/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._foliant_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table that nothing will read again."""
-    path = getattr(df, "_foliant_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
+BLANKS = " \t\n\x0b\x0c\r"
+BLANK_RUN = "[ \\t-\\r]+"
 
 def give_back() -> None:
     """Return what a Python worker has freed to the system, as workers stay between tasks."""
