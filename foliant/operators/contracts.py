@@ -110,14 +110,17 @@ def health_problem(required: list[str], least_version: Column, version: Column)
 
 
 def report_problem(report: Column, most: int = 64 * 1024, longest: int = 1000) -> Column:
-    """FLT24 on JSON text: bytes, nesting of ten, string length, forbidden keys."""
-    bare = F.regexp_replace(report, r'"(?:[^"\\]|\\.)*"', '""')
+    """FLT24 on JSON text: bytes, nesting of ten, string length, forbidden keys.
+
+    The patterns for strings are possessive: they go through a string of any length without recursion.
+    """
+    bare = F.regexp_replace(report, r'"(?:[^"\\]++|\\.)*+"', '""')
     opened = F.regexp_replace(bare, r"[^\[\]{}]", "")
     for _ in range(10):
         opened = F.regexp_replace(opened, r"\[\]|\{\}", "")
     return first_problem([
         ("too_large", F.octet_length(report) > most), ("not_json", F.try_parse_json(report).isNull()), ("too_deep", opened != ""),
-        ("long_string", report.rlike(rf'"(?:[^"\\]|\\.){{{longest + 1},}}"')),
+        ("long_string", report.rlike(rf'"(?:[^"\\]|\\.){{{longest + 1},}}+"')),
         ("forbidden_key", report.rlike(r'(?i)"(?:api_?key|authorization|token|password|secret|prompt|path)"\s*:')),
     ])
 

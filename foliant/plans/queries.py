@@ -547,4 +547,4 @@ def content_order(spark, sf):
 
 
 # the other modules register theirs
-from . import relation_queries, repair_queries, scalar_queries  # noqa: E402, F401
+from . import relation_queries, repair_queries, scalar_queries, source_queries  # noqa: E402, F401

@@ -31,7 +31,7 @@ def duck():
 def test_query(spark, duck, name):
     got = Q.queries()[name](spark, SF).toPandas()
     sql = Q.oracle_sql().get(name)
-    assert len(got) > 0
+    assert sql or len(got) > 0
     if sql:
         want = duck.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
