@@ -5,10 +5,11 @@ So every fingerprint emits all 2,081 words within two bits (half the radius); th
 linked, and by the triangle inequality all members of a word are within four bits of each other.  One edge
 from each member to the smallest one keeps every link's component without writing pairs.
 
-The words are routed by a linear code: the bucket of ``f ^ mask`` is ``bucket(f) ^ bucket(mask)``.  Only the
-fingerprint travels, once to each bucket its ball touches; the task of the bucket rebuilds the words that
-fall into it, slice by slice, sorts them and finds the ones that meet.  All buckets get equal shares
-whatever the texts, so no group of copies heats one task.
+The words are routed by a linear code, the parities of r groups of bits: the bucket of ``f ^ mask`` is
+``bucket(f) ^ bucket(mask)``, and two flipped bits change two parities at most, so a ball touches 1 + r + r(r-1)/2
+of the 2^r buckets (22 of 64, 211 of a million).  Only the fingerprint travels, once to each bucket its ball
+touches; the task of the bucket rebuilds the words that fall into it, slice by slice, sorts them and finds the
+ones that meet.  Copies are one fingerprint, so no group of copies heats one task.
 """
 
 from __future__ import annotations
@@ -79,7 +80,12 @@ def ball(radius: int) -> np.ndarray:
 
 
 def _code(bits: int) -> np.ndarray:
-    """Parity checks of the routing code."""
+    """Parity checks of the routing code: every ``bits``-th bit."""
+    return np.array([sum(1 << p for p in range(k, 64, bits)) for k in range(bits)], np.uint64)
+
+
+def _slices(bits: int) -> np.ndarray:
+    """Further checks that cut a bucket's words into slices."""
     return np.random.default_rng(20240601).integers(1, 1 << 63, bits, np.uint64, endpoint=True) | np.uint64(1)
 
 
@@ -116,7 +122,7 @@ def _in_bucket(bucket: int, prints: np.ndarray, bits: int, radius: int) -> tuple
     more = 0
     while len(prints) * len(masks) >> (bits + more) > SLICE_WORDS and more < 16:
         more += 1
-    checks = _code(bits + more)
+    checks = np.concatenate([_code(bits), _slices(more)])
     of_mask, of_print = syndrome(masks, checks), syndrome(prints, checks)
     order = np.argsort(of_print, kind="stable")
     prints, of_print = prints[order], of_print[order]
