@@ -137,7 +137,7 @@ def raster_scales(spark, sf):
 
 
 @query("select page_id, 'b' as id from pages union all select page_id, 'c' from pages")
-def opaque_regions(spark, sf):
+def error_regions(spark, sf):
     head = F.lit('<section><div class="ltx_para" id="a">1</div><div class="ltx_para" id="b"><span class="ltx_ERROR">2</span></div><div class="x ltx_para" id="c">3</div></section>')
     o = html.opaque_siblings(html.node_table(_pages(spark, sf, head=head)))
     return o.select(F.col("doc_id").cast("long").alias("page_id"), html.attr("id").alias("id"))
