@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components_of, connected_components, give_back, materialise
+from .common import components_of, connected_components, give_back, materialise, small_batches
 
 SEED = 42
 SHINGLE = 4
@@ -67,6 +67,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """Adds the fingerprint of each text as a long (the same 64 bits)."""
+    small_batches(docs.sparkSession)
     udf = F.pandas_udf(_fingerprints, "long")
     return docs.withColumn(out, udf(docs[text].cast("binary")))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialise
@@ -29,6 +29,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as thousands of long texts are too much for a worker's share."""
+    now = int("".join(filter(str.isdigit, spark.conf.get(_BATCH))) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def text_parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows (first, number) with at most ``most`` bytes of text each, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()

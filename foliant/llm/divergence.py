@@ -77,8 +77,8 @@ def _repeat_words(words: Column) -> Column:
 
     def covered(win: Column) -> Column:
         # sort (hash, place); a place repeats when a neighbour has its hash; then sum the union of the windows
-        in_order = F.array_sort(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        at = let(in_order, lambda s: F.array_sort(F.transform(
+        in_order = F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        at = let(in_order, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))
                      | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))),
             lambda x: x["i"],
@@ -212,7 +212,7 @@ def word_distance(refs: list[dict], words: Column, n_words: Column) -> Column:
     every = sorted({w for r in refs for w in r["words"]})
     if not every:
         return F.lit(None).cast("double")
-    kept = F.array_sort(F.filter(words, lambda w: w.isin(every)))
+    kept = F.sort_array(F.filter(words, lambda w: w.isin(every)))
     runs = let(kept, lambda s: let(
         F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1))),
         lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: F.struct(

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, give_back
+from .common import crc_mod, give_back, small_batches
 
 ORDERS = 3
 BUCKET_BITS = 16
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE)
 
 def language_of(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """struct(lang_pred, score) of each text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:

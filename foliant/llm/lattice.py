@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, text_parts
+from .common import give_back, small_batches, text_parts
 from .pieces import MODEL_PATH, Vocabulary, parse, read_model
 
 ALPHA = 1.0
@@ -455,16 +455,19 @@ def _sampler(*key) -> Sampler:
 
 def with_pieces(
     docs: DataFrame, path: str = MODEL_PATH, alpha: float = ALPHA, seed: int = SEED, scores: str = "rank",
-    text: str = "text", key: str = "doc_id",
+    text: str = "text", key: str = "doc_id", keep_text: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` plus piece_ids, sampled by the row's key (a null key counts as 0), and lossless.
 
     lossless tells whether decoding the pieces gives the row's text again (the empty text for null).  Columns
-    of these two names are replaced.
+    of these two names are replaced.  Without ``keep_text`` the text is left out of the result.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))  # a file of fixed size
-    kept = [c for c in docs.columns if c not in ("piece_ids", "lossless")]
-    own = docs.select(*[docs[c] for c in kept], docs[text].alias("__text"), F.coalesce(docs[key].cast("long"), F.lit(0)).alias("__key"))
+    kept = [c for c in docs.columns if c not in ("piece_ids", "lossless") and (keep_text or c != text)]
+    at = kept.index(text) if keep_text else -1  # a kept text travels once
+    others = [c for c in kept if c != text]
+    own = docs.select(*[docs[c] for c in others], docs[text].alias("__text"), F.coalesce(docs[key].cast("long"), F.lit(0)).alias("__key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model.value, alpha, seed, scores)
@@ -478,9 +481,10 @@ def with_pieces(
                 pieces = np.concatenate([*found, np.zeros(0, np.int32)])
                 again = pc.equal(sampler.decode(pieces, counts), pc.fill_null(texts, "").cast(pa.binary()))
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(pieces))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: n - 2], ids, again], names=[*batch.schema.names[: n - 2], "piece_ids", "lossless"]
-                )
+                columns = list(batch.columns[: n - 2])
+                if at >= 0:
+                    columns.insert(at, texts)
+                yield pa.RecordBatch.from_arrays([*columns, ids, again], names=[*kept, "piece_ids", "lossless"])
         sampler.rest()
 
     fields = [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("lossless", T.BooleanType())]
@@ -506,7 +510,7 @@ def segmentation_digests(docs: DataFrame, path: str = MODEL_PATH, **options) ->
 
     Null and empty texts have no pieces.  lossless tells whether decoding gives the text again.
     """
-    found = with_pieces(docs.select("doc_id", F.col("text").alias("__t")), path, text="__t", **options)
+    found = with_pieces(docs.select("doc_id", F.col("text").alias("__t")), path, text="__t", keep_text=False, **options)
     return found.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
