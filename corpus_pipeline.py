@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each drawn document as sampled pieces, with the proof that they decode to its text."""
-    own = lattice.with_pieces(docs.select("doc_id", "text", "lang", "source"))
+    own = lattice.with_pieces(docs.select("doc_id", "text", "lang", "source"), keep_text=False)
     return own.select(
         "doc_id", "lang", "source", "piece_ids",
         F.size("piece_ids").cast("long").alias("n_pieces"),
