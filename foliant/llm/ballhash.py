@@ -235,9 +235,9 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of repeated rows with that id one stays; a component without any id keeps one row.
     """
-    own = materialise(with_fingerprint(docs, out="__fp"), "printed")
-    ids = own.select("doc_id", F.col("__fp").alias("fp"))
-    found = ids.join(_components(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = found.groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("__head")).drop("root")
-    head = (own["__fp"] == heads["fp"]) & own["doc_id"].eqNullSafe(heads["__head"])
-    return own.join(heads, head, "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+    own = materialise(with_fingerprint(docs, out="__fp").withColumn("__row", F.monotonically_increasing_id()), "printed")
+    ids = own.select("doc_id", F.col("__fp").alias("fp"), "__row")
+    found = ids.join(_components(ids.select("doc_id", "fp"), radius), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__row"))
+    heads = found.groupBy("root").agg(first.alias("h")).select("h.__row")
+    return own.join(heads, "__row", "left_semi").drop("__row", "__fp")  # the texts are shuffled once
