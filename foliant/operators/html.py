@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import has_unsafe_css, has_unsafe_scheme, is_local_asset, squeeze
+from ..functions.text import has_unsafe_css, has_unsafe_scheme, is_local_asset, markdown_destination, relative_asset, squeeze
 from ..storage import materialise
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -175,6 +175,28 @@ def sanitize(nodes: DataFrame, local_only: bool = False) -> DataFrame:
     return kept.withColumn("attrs", F.map_filter("attrs", safe))
 
 
+def raw_nodes(nodes: DataFrame, tags: list[str]) -> DataFrame:
+    """FLT07: nodes that may stand as raw markup: other elements are unwrapped, attributes without a safe value go.
+
+    Links become Markdown destinations, media must be below ``assets/``, any other address and CSS url() a fragment.
+    """
+    kept = nodes.where((F.col("type") == "text") | F.col("tag").isin([t.lower() for t in tags]))
+
+    def safe(k: Column, v: Column) -> Column:
+        outside = F.exists(F.regexp_extract_all(v, F.lit(r"""(?i)url\(\s*['"]?\s*([^'")]*)"""), 1), lambda u: ~u.startswith("#"))
+        named = k.rlike(r"(?i)^[a-z][a-z0-9:._\-]*$") & ~F.lower(k).startswith("on") & ~F.lower(k).isin("srcset", "xml:base")
+        address = F.lower(k).isin("href", "src", "data", "xlink:href")
+        fragment, tag = F.trim(v).startswith("#"), F.col("tag")
+        return (
+            F.when(~named | outside, None).when(~address, v).when(tag == "a", markdown_destination(v))
+            .when((tag == "image") & fragment, F.trim(v))
+            .when(tag.isin("img", "image") & (F.lower(k) != "data"), F.when(is_local_asset(relative_asset(F.trim(v))), relative_asset(F.trim(v))))
+            .when(fragment, v)
+        )
+
+    return kept.withColumn("attrs", F.map_filter(F.transform_values("attrs", safe), lambda k, v: v.isNotNull()))
+
+
 def svg_problems(nodes: DataFrame, most: int = 5000, depth: int = 128) -> DataFrame:
     """FLT08: documents whose drawing is too large, too deep, or holds active elements or attributes."""
     active = F.col("tag").isin("script", "foreignobject", "animate", "set", "use", "image", "a") | F.exists(

@@ -17,6 +17,11 @@ from ..functions import geometry as G
 from ..functions.text import MATH_FONTS, canonical_furniture, caption_match, citations, heading
 from ..functions.text import looks_like_equation, object_references, reference_label, section_slug, squeeze
 
+# What starts a caption, ends a numbered equation, and marks mathematics.
+CAPTION_START = r"(?i)^(?:Figure|Fig\.|Table|Algorithm)\s+[A-Z0-9]+[.:]"
+EQUATION_NUMBER = r"\([0-9]{1,3}\)\s*$"
+MATH_MARKS = r"(?U)[=∑∏√∞≤≥≈∈∉⊂⊆→←↔α-ωΑ-Ω]|\b(?:arg|min|max|log|exp|softmax)\b"
+
 TEXT_ROLES = ["paragraph", "list_item", "caption", "reference"]
 
 
@@ -326,7 +331,8 @@ def align_in_order(scores: DataFrame) -> DataFrame:
 
 
 def merge_regions(regions: DataFrame, least: float = 0.75) -> DataFrame:
-    """RM27: regions of a page that cover each other by 75 % become one; a table stays a table."""
+    """RM27: regions of a page that cover each other by 75 % become one; a table stays a table, the first caption too."""
+    captions = ["caption"] if "caption" in regions.columns else []
 
     def page(rows: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
@@ -339,15 +345,72 @@ def merge_regions(regions: DataFrame, least: float = 0.75) -> DataFrame:
                 if both / size(k) > least or both / size(r) > least:
                     k.update(x0=min(k["x0"], r["x0"]), y0=min(k["y0"], r["y0"]), x1=max(k["x1"], r["x1"]), y1=max(k["y1"], r["y1"]))
                     k["kind"] = "table" if "table" in (k["kind"], r["kind"]) else k["kind"]
+                    if captions:
+                        k["caption"] = k["caption"] or r["caption"]
                     break
             else:
                 kept.append(r)
         return pd.DataFrame(kept, columns=list(rows.columns))
 
-    slim = regions.select("doc_id", "page", "region_id", "kind", *[F.col(f"bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    slim = regions.select("doc_id", "page", "region_id", "kind", *[F.col(f"bbox.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")], *captions)
     return slim.groupBy("doc_id", "page").applyInPandas(page, slim.schema)
 
 
+def detect_regions(pages: DataFrame, tables: DataFrame, graphics: DataFrame, blocks: DataFrame) -> DataFrame:
+    """RM28: (doc_id, page, region_id, kind, bbox, caption) of tables, figures, equations and captions without a visual.
+
+    pages: doc_id, page, page_width, page_height; tables and graphics: doc_id, page, region_id, bbox; blocks:
+    doc_id, page, block_id, bbox, text.  A region takes in its nearest caption; one of a caption alone reaches
+    up its column to the text above.
+    """
+    key = ["doc_id", "page"]
+    size = pages.select(*key, F.col("page_width").cast("double"), F.col("page_height").cast("double"))
+    captions = blocks.where(F.col("text").rlike(CAPTION_START))
+    named = lambda df, of, kind: df.select(
+        *key, F.concat(F.lit(kind[0]), F.lit(":"), F.col(of).cast("string")).alias("region_id"), F.lit(kind).alias("kind"), "bbox"
+    )
+    seen = nearest_caption(named(tables, "region_id", "table").unionByName(named(graphics, "region_id", "figure")), captions)
+    seen = seen.join(captions.select(
+        *key, F.col("block_id").alias("caption_id"), F.col("bbox").alias("__c"), F.col("text").alias("caption")
+    ), [*key, "caption_id"], "left").join(size, key).withColumn("captioned", F.col("caption").isNotNull())
+    seen = seen.where("kind = 'table'").unionByName(region_candidates(seen.where("kind = 'figure'")))
+    box, c = F.col("bbox"), F.col("__c")  # least and greatest skip a missing caption
+    hull = G.rect(F.least(box["x0"], c["x0"]), F.least(box["y0"], c["y0"]), F.greatest(box["x1"], c["x1"]), F.greatest(box["y1"], c["y1"]))
+    slim = lambda df, pad, rect: df.select(
+        *key, "region_id", "kind", G.padded(rect, pad, F.col("page_width"), F.col("page_height")).alias("bbox"), "caption"
+    )
+
+    text, width = F.col("text"), F.col("page_width")
+    compact = (box["y1"] - box["y0"] < 125) & (box["x0"] > width * 0.16) & (box["x1"] < width * 0.84) & (F.length(text) < 220)
+    formula = (text.rlike(EQUATION_NUMBER) & text.contains("=")) | (compact & text.rlike(MATH_MARKS))
+    equations = blocks.join(size, key).where(formula).withColumns({
+        "region_id": F.concat(F.lit("e:"), F.col("block_id").cast("string")), "kind": F.lit("equation"), "caption": text,
+    })
+    found = slim(seen, 7, hull).unionByName(slim(equations, 8, box))
+
+    alone = captions.join(found.select(*key, F.col("caption").alias("text")), [*key, "text"], "left_anti").join(size, key)
+    wide = ((box["x0"] < width * 0.45) & (box["x1"] > width * 0.55)) | (box["x1"] - box["x0"] > width * 0.58)
+    left = ~wide & (box["x0"] < width / 2)
+    alone = alone.withColumns({
+        "__l": F.when(wide | left, F.lit(34.0)).otherwise(width / 2 + 10),
+        "__r": F.when(left, width / 2 - 10).otherwise(width - 34),
+    })
+    above = blocks.where(~text.rlike(CAPTION_START)).select(*key, F.col("bbox").alias("__b"))
+    b = F.col("__b")
+    shared = F.least(b["x1"], F.col("__r")) - F.greatest(b["x0"], F.col("__l"))
+    fits = (b["y1"] <= box["y0"]) & (shared >= 0.35 * F.least(b["x1"] - b["x0"], F.col("__r") - F.col("__l")))
+    last = alone.join(above, key).where(fits).groupBy(*key, "block_id").agg(F.max("__b.y1").alias("__last"))
+    alone = alone.join(last, [*key, "block_id"], "left")
+    top = F.greatest(F.lit(36.0), box["y0"] - 270, F.coalesce(F.col("__last"), box["y0"] - 190) + 3)
+    top = F.when(box["y1"] - top < 72, F.greatest(F.lit(36.0), box["y0"] - 150)).otherwise(top)
+    alone = alone.withColumns({
+        "region_id": F.concat(F.lit("c:"), F.col("block_id").cast("string")), "caption": text,
+        "kind": F.when(text.rlike("(?i)^(?:table|algorithm)"), "table").otherwise("figure"),
+    })
+    found = found.unionByName(slim(alone, 5, G.rect(F.col("__l"), top, F.col("__r"), box["y1"])))
+    return merge_regions(found).select(*key, "region_id", "kind", G.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("bbox"), "caption")
+
+
 def fallback_visual(captions: DataFrame, blocks: DataFrame) -> DataFrame:
     """RM18: where no visual is known, the union of two or more small-font blocks on the nearer side of the caption."""
     b = blocks.select("doc_id", "page", F.col("bbox_norm").alias("__b"), F.col("font_max").alias("__f"))

@@ -216,6 +216,15 @@ def active_drawings(spark, sf):
     return html.svg_problems(html.parse_html(_pages(spark, sf))).select(F.col("doc_id").cast("long").alias("page_id"), "elements", "active")
 
 
+@query("""select page_id, len(regexp_extract_all(html, '<(?:a|div|p|span|table|tr|td)[ >]')) + 1 as elements, 1 as safe from pages""")
+def raw_markup(spark, sf):
+    tail = F.lit('<a href="javascript:x()" onclick="x()" class="c">k</a>')
+    n = html.raw_nodes(html.parse_html(_pages(spark, sf, tail=tail)), ["a", "div", "p", "span", "table", "tr", "td"])
+    own = (html.attr("class") == "c") & html.attr("href").isNull() & html.attr("onclick").isNull()
+    el = n.where("type = 'element'").groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if((F.col("tag") == "a") & own).cast("int").alias("safe"))
+    return el.select(F.col("doc_id").cast("long").alias("page_id"), "elements", "safe")
+
+
 @query("""select page_id, len(regexp_extract_all(html, '<[a-z][a-z0-9]*')) - len(regexp_extract_all(html, '<(?:script|style|iframe|object|embed|form|input|button|link|meta|base|template)[ >]')) + 1 as elements, 1 as handlers_gone from pages""")
 def sanitized_pages(spark, sf):
     tail = F.lit('<b onclick="x()" class="c">k</b>')

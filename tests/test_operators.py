@@ -144,6 +144,37 @@ def test_region_merge_and_parents(spark):
     assert rows(layout.section_parents(s), "section_id", "parent_section_id") == [("s1", None), ("s2", "s1"), ("s3", None), ("s4", "s1")]
 
 
+def test_regions_of_a_page(spark):
+    page = spark.createDataFrame([("d", 1, 600.0, 800.0)], "doc_id string, page int, page_width double, page_height double")
+    box = f"doc_id string, page int, region_id string, bbox {BOX}"
+    tables = spark.createDataFrame([("d", 1, "a", (50.0, 100.0, 250.0, 180.0))], box)
+    graphics = spark.createDataFrame([("d", 1, "b", (320.0, 100.0, 560.0, 300.0)), ("d", 1, "part", (320.0, 60.0, 560.0, 214.0)), ("d", 1, "tiny", (300.0, 700.0, 320.0, 710.0))], box)
+    blocks = spark.createDataFrame([
+        ("d", 1, "1", (50.0, 190.0, 250.0, 200.0), "Table 1: sizes"), ("d", 1, "2", (320.0, 310.0, 560.0, 320.0), "Figure 1. plot"),
+        ("d", 1, "3", (150.0, 400.0, 300.0, 420.0), "y = a + b"), ("d", 1, "4", (40.0, 500.0, 280.0, 520.0), "Plain words."),
+        ("d", 1, "5", (40.0, 640.0, 280.0, 660.0), "Figure 2. no drawing"),
+    ], f"doc_id string, page int, block_id string, bbox {BOX}, text string")
+    got = {r.region_id: (r.kind, tuple(r.bbox), r.caption) for r in layout.detect_regions(page, tables, graphics, blocks).collect()}
+    assert got == {
+        "t:a": ("table", (43.0, 93.0, 257.0, 207.0), "Table 1: sizes"), "f:part": ("figure", (313.0, 53.0, 567.0, 327.0), "Figure 1. plot"),
+        "e:3": ("equation", (142.0, 392.0, 308.0, 428.0), "y = a + b"), "c:5": ("figure", (29.0, 518.0, 295.0, 665.0), "Figure 2. no drawing"),
+    }
+    assert layout.detect_regions(page, tables.limit(0), graphics.limit(0), blocks.limit(0)).count() == 0
+
+
+def test_raw_markup_is_filtered(spark):
+    source = (
+        '<svg onload="x()" class="c"><use href="#s"></use><use href="a.svg#s"></use><image href="https://x.org/i.png"></image>'
+        '<image href="i.png"></image><image href="./assets/i.png"></image><g fill="url(#f)" style="fill:url(https://x.org/f)"><b>t &amp; u</b></g></svg><a href="javascript:x()">k</a>'
+    )
+    n = html.parse_html(spark.createDataFrame([("d", source), ("e", None)], "doc_id string, html string"))
+    got = html.inner_html(html.raw_nodes(n, ["svg", "g", "use", "image", "a"])).collect()
+    assert [tuple(r) for r in got] == [("d", (
+        '<svg class="c"><use href="#s"></use><use></use><image></image><image></image><image href="assets/i.png"></image>'
+        '<g fill="url(#f)">t &amp; u</g></svg><a>k</a>'
+    ))]
+
+
 def test_reference_anchor(spark):
     u = spark.createDataFrame([
         ("d", "u1", "paragraph", "As shown in Figure 1, yes.", [1], 2.0, ["Figure 1"]), ("d", "u2", "paragraph", "Figure 1 shows more.", [2], 9.0, ["Fig. 1"]), ("d", "u3", "paragraph", "Table 2 is here.", [9], 30.0, ["Table 2"]),
