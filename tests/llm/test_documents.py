@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from foliant.llm import ballhash, divergence, hmm, langid, lattice, license_index, mixing, pieces, viterbi
+from foliant.llm import ballhash, bytebpe, divergence, hmm, langid, lattice, license_index, mixing, pieces, runs, viterbi
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp string, size double, score string, words string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,7 +50,7 @@ def _ids(df):
 
 @pytest.mark.parametrize("run", [
     divergence.quality, ballhash.simhash_components, viterbi.count_tokens, license_index.scan, langid.predict_languages,
-    hmm.score_documents, lattice.segmentation_digests, mixing.mix,
+    hmm.score_documents, lattice.segmentation_digests, mixing.mix, runs.run_digests, bytebpe.token_digests,
 ])
 def test_every_row_once_and_empty_tables(docs, empty, run):
     assert _ids(run(docs)) == sorted((r[0] is None, r[0]) for r in _rows())
