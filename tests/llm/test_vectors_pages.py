@@ -1,7 +1,10 @@
 """Embeddings and pages against brute force, with unsound rows."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import hnsw, site_templates
 from tests.llm.test_documents import _components
@@ -142,7 +145,48 @@ def test_templates_are_counted_as_by_hand(spark):
         for key, _ in site_templates.keys_of(root, host):
             on.setdefault((host, key), set()).add(own)
     want = {k for (h, k), v in on.items() if (len(v) >= 3 and 2 * len(v) >= len(pages[h]) if k & 1 else len(v) >= 10 and len(v) >= 0.3 * len(pages[h]))}
-    assert {r.key for r in site_templates.templates(df.selectExpr("page_id as rid", "url", "html")).collect()} == want and want
+    found = {r.key for r in site_templates.templates(df.selectExpr("page_id as rid", "url", "html")).collect()}
+    assert {k for k in found if k & 3 != site_templates.PLACE} == want and want
     got = {r.page_id: r for r in site_templates.main_text(df).collect()}
     assert all(got[i].text == f"T {i}\n\nBody {i}." and got[i].n_templates >= 2 for i in range(30))
     assert got[101].text.endswith("Same line on each page.") and got[101].n_templates == 0
+
+
+def test_templates_alone_strip_the_given_pages(spark):
+    """Without any rule about tags and names the texts are the same, and without templates too none is."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    text = lambda **k: {r.page_id: r.text for r in site_templates.main_text(pages, **k).collect()}
+    hosts = pages.groupBy(F.regexp_extract("url", "//([^/]*)", 1).alias("h")).count().where("count >= 3").select("h")
+    shared = {r.page_id for r in pages.join(hosts, F.regexp_extract("url", "//([^/]*)", 1) == F.col("h")).collect()}
+    whole, alone, nothing = text(), text(rules=False), text(rules=False, min_share=9.0, min_frame_share=9.0)
+    assert len(shared) > 100 and all(alone[i] == whole[i] != nothing[i] for i in shared)
+
+
+def test_the_content_of_a_host_is_found_without_names(spark):
+    line = lambda i, k: " ".join(f"w{i * j * k % 97}" for j in range(25))
+    page = lambda i: (
+        f"<div><div><a>menu {i}</a><a>more {i}</a></div><div class=x{i}><p>{line(i, 3)}</p><p>{line(i, 5)}</p></div><div><i>tail {i}</i></div></div>"
+    )
+    rows = [(i, "http://a.org/", page(i)) for i in range(1, 13)] + [(99, "http://one.org/", page(1))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for run in ({"rules": False}, {}, {"rules": False, "broadcast_rows": -1}):
+        got = {r.page_id: r for r in site_templates.main_text(df, **run).collect()}
+        assert all(got[i].text == f"{line(i, 3)}\n\n{line(i, 5)}" and got[i].n_templates == 2 for i in range(1, 13))
+        assert got[99].text.startswith("menu 1more 1") and got[99].n_templates == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<div>" * 90_000 + "</p>" * 130_000, "<a '>" * 200_000, '<a "' * 250_000, "<b><article>" + "<i>" * 100_000 + "</b>" * 150_000,
+    "<li>" * 100_000, "<table>" + "<tr><td>" * 60_000, "<p>" * 150_000, "<article>x</article>" * 50_000, "<!--" * 250_000, "<" * 1_000_000, "<article>" * 60_000 + "x",
+])
+def test_long_malformed_pages_take_linear_time(page):
+    began = time.process_time()
+    root = site_templates.parse(page)
+    site_templates.blocks(root, {1}, "host")
+    assert time.process_time() - began < 20
+
+
+def test_quotes_that_never_close():
+    text = lambda html: site_templates.blocks(site_templates.parse(html))[0]
+    assert text("<p title='a>b'>one</p><p title=\"it>two</p><p title='x'>three</p>") == ["one", "two", "three"]
+    assert text("<p>a < b and <c") == ["a < b and <c"] and text("x<!-- never ends <p>y</p>") == ["x"] and text("<!doctype html><p>z") == ["z"]
