@@ -8,8 +8,11 @@ agree on one offset.  The share of a template's rare weight that agrees is its s
 label is given where the score is high enough and the template's mandatory phrase stands in the file where that offset
 puts it, or some words beside.
 
-Votes are rows of a shuffle keyed by document, template and offset, so any number of hits and copies is
-handled whole.
+Votes are rows of a shuffle keyed by document, template and offset, and so are the offsets that an occurrence of
+the mandatory phrase vouches for, so any number of hits and copies is handled whole, in time linear in the text.
+
+The templates are a parameter: (label, mandatory phrase, text) triples, or a table of them read by
+``templates_of``.  They travel in the plan, which is why their words are bounded by ``MOST_WORDS``.
 """
 
 from __future__ import annotations
@@ -72,6 +75,8 @@ MAX_DOCUMENT_SHARE = 0.1
 MIN_SCORE = 0.7
 #: The mandatory phrase may stand so many words from the place that the offset gives.
 SLACK = 8
+#: Words of all templates together.
+MOST_WORDS = 5000
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -120,6 +125,25 @@ def _place(phrase: list[str], words: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
 
 
+def templates_of(table: DataFrame) -> list[tuple[str, str, str]]:
+    """Templates from a table (label, phrase, text) of at most ``MOST_WORDS`` rows; others are an error."""
+    rows = table.select("label", "phrase", "text").limit(MOST_WORDS + 1).collect()
+    return checked([tuple(r) for r in sorted(rows, key=lambda r: tuple(map(str, r)))])
+
+
+def checked(templates: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The templates, if each has a label, and a phrase of its own words in a row; else ValueError."""
+    if not templates:
+        raise ValueError("no templates")
+    for label, phrase, text in templates:
+        words, m = plain_words(text or ""), (phrase or "").split()
+        if not label or not m or not any(words[i : i + len(m)] == m for i in range(len(words))):
+            raise ValueError(f"the mandatory phrase of template {label!r} does not stand in its text")
+    if sum(len(plain_words(t)) for _, _, t in templates) > MOST_WORDS:
+        raise ValueError(f"templates have at most {MOST_WORDS} words together")
+    return list(templates)
+
+
 def document_shares(docs: DataFrame, wanted: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
     """Number of documents, and how many of them have each of the (at most some hundred) licence words."""
     hits = docs.select(F.array_distinct(F.transform(_hits(words_of_file(docs[text]), wanted), lambda h: h["w"])).alias("w"))
@@ -128,34 +152,37 @@ def document_shares(docs: DataFrame, wanted: list[str], text: str = "text") -> t
     return docs.count(), found
 
 
-def index_of(n_docs: int, found: dict[str, int], share: float = MAX_DOCUMENT_SHARE) -> dict[str, tuple[float, list]]:
+def index_of(
+    n_docs: int, found: dict[str, int], share: float = MAX_DOCUMENT_SHARE, templates: list[tuple[str, str, str]] = TEMPLATES
+) -> dict[str, tuple[float, list]]:
     """word -> (idf, postings of (template, place)) of the rare words; each template keeps its rarest word."""
     idf = lambda w: math.log((n_docs + 1) / (found.get(w, 0) + 0.5))
     rare: set[str] = set()
-    for _, _, text in TEMPLATES:
+    for _, _, text in templates:
         words = plain_words(text)
         own = [w for w in words if found.get(w, 0) <= share * n_docs]
         rare.update(own or [max(words, key=lambda w: (idf(w), w))])
     out: dict[str, tuple[float, list]] = {w: (idf(w), []) for w in sorted(rare)}
-    for t, (_, _, text) in enumerate(TEMPLATES):
+    for t, (_, _, text) in enumerate(templates):
         for p, w in enumerate(plain_words(text)):
             if w in out:
                 out[w][1].append((t, p))
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each row of ``docs``.
 
     base: places where a phrase of BASE stands.  labels adds the templates found; score is the best template's
     share of rare weight (0 without a hit).  Null texts are empty files; a file without a label has empty
     strings.  Repeated rows come back as often as they came in.  Other columns are ignored.
     """
-    vocabulary = sorted({w for _, _, t in TEMPLATES for w in plain_words(t)})
+    templates = checked(templates)
+    vocabulary = sorted({w for _, _, t in templates for w in plain_words(t)})
     n_docs, found = document_shares(docs.select("text"), vocabulary)
-    index = index_of(n_docs, found)
+    index = index_of(n_docs, found, templates=templates)
     anchors = {p: max(range(len(p.split())), key=lambda k: (p.split()[k] in ("license", "cc"), -k)) for p, _ in BASE}
-    phrases = [m.split() for _, m, _ in TEMPLATES]
+    phrases = [m.split() for _, m, _ in templates]
     # a mandatory phrase is looked for at the word that the fewest documents have
     keys = [min(range(len(m)), key=lambda k: (found.get(m[k], 0), k)) for m in phrases]
     wanted = sorted({*index, *(p.split()[k] for p, k in anchors.items()), *(m[k] for m, k in zip(phrases, keys, strict=True))})
@@ -169,10 +196,16 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.flatten(F.array(*[
         _base_places(words, hits, p.split(), anchors[p], label) for p, label in BASE
     ]))
-    # where each template would begin by its mandatory phrase
-    starts = [
-        _less(_base_places(words, hits, m, k, ""), _place(m, plain_words(t)))
-        for m, k, (_, _, t) in zip(phrases, keys, TEMPLATES, strict=True)
+    # the offsets that a mandatory phrase vouches for: where it lets its template begin, and up to SLACK words beside
+    beside = F.array(*[F.lit(d) for d in range(-SLACK, SLACK + 1)])
+
+    def vouch(t: int, starts: Column) -> Column:
+        row = lambda o: F.struct(F.lit(t).alias("t"), o.alias("o"), F.lit(0.0).alias("v"), F.lit(True).alias("near"))
+        return F.flatten(F.transform(starts, lambda o: F.transform(beside, lambda d: row(o + d))))
+
+    vouched = [
+        vouch(t, _less(_base_places(words, hits, m, k, ""), _place(m, plain_words(x))))
+        for t, (m, k, (_, _, x)) in enumerate(zip(phrases, keys, templates, strict=True))
     ]
     idf = F.create_map(*[x for w, (v, _) in index.items() for x in (F.lit(w), F.lit(v))])
     postings = F.create_map(*[
@@ -183,35 +216,34 @@ def scan(docs: DataFrame) -> DataFrame:
     votes = F.flatten(F.transform(
         F.filter(hits, lambda h: h["w"].isin(sorted(index))),
         lambda h: F.transform(F.try_element_at(postings, h["w"]), lambda x: F.struct(
-            x["t"].alias("t"), (h["i"] - x["p"]).alias("o"), F.try_element_at(idf, h["w"]).alias("v")
+            x["t"].alias("t"), (h["i"] - x["p"]).alias("o"), F.try_element_at(idf, h["w"]).alias("v"), F.lit(False).alias("near")
         )),
     ))
     some = F.size(hits) > 0
     facts = own.select(
         "rid", "doc_id", F.size(words).cast("long").alias("n_words"),
         F.when(some, base).alias("base"),
-        F.when(some, F.array(*starts)).alias("starts"),
-        F.when(some, votes).alias("votes"),
+        F.when(some, F.concat(votes, *vouched)).alias("votes"),
     )
-    flat = facts.select(
+    # what a vote carries has a bounded size: arrays of a file stay below the explosion
+    brief = facts.select(
         "rid", "doc_id", "n_words",
         F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"),
         F.array_min(F.transform("base", lambda b: b["i"])).cast("long").alias("first_word"),
         F.array_max(F.transform("base", lambda b: b["i"])).cast("long").alias("last_word"),
-        F.array_distinct(F.transform("base", lambda b: b["label"])).alias("base_set"),
-        "starts", F.explode_outer("votes").alias("vote"),
+        F.array_distinct(F.transform("base", lambda b: b["label"])).alias("base_set"), "votes",
     )
-    fixed = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_set", "starts"]
+    fixed = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_set"]
+    flat = brief.select("rid", *fixed, F.explode_outer("votes").alias("vote"))
     by_offset = flat.groupBy("rid", "vote.t", "vote.o").agg(
-        *[F.first(c).alias(c) for c in fixed], F.sum("vote.v").alias("v")
+        *[F.first(c).alias(c) for c in fixed], F.sum("vote.v").alias("v"), F.max("vote.near").alias("near")
     )
-    whole = F.array(*[F.lit(math.fsum(index[w][0] for w in plain_words(t) if w in index)) for _, _, t in TEMPLATES])
+    whole = F.array(*[F.lit(math.fsum(index[w][0] for w in plain_words(t) if w in index)) for _, _, t in templates])
     scored = by_offset.withColumn(
         "s", F.when(F.col("t").isNotNull(), F.least(F.lit(1.0), F.col("v") / F.get(whole, F.col("t"))))
     )
-    names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    there = F.exists(F.get("starts", F.col("t")), lambda x: F.abs(x - F.col("o")) <= SLACK)
-    good = (F.col("s") >= MIN_SCORE) & there
+    names = F.array(*[F.lit(label) for label, _, _ in templates])
+    good = (F.col("s") >= MIN_SCORE) & F.col("near")
     done = scored.groupBy("rid").agg(
         *[F.first(c).alias(c) for c in fixed],
         F.max("s").alias("score"),

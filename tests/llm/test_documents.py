@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -403,6 +404,27 @@ def test_licences(docs, spark):
     assert "bsd-text" not in got[1].labels and "bsd-text" in got[2].labels and "bsd-text" not in got[3].labels
 
 
+def test_many_notices_in_one_file(spark):
+    filler = [(100 + i, _text(i, 300)) for i in range(40)]
+    rows = [(1, "Released under the MIT License. " * 20_000), (2, "MIT License. " * 5_000), (3, "permission is hereby granted free of charge " * 3_000)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in license_index.scan(spark.createDataFrame(rows + filler, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 120
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].labels) == (100_000, 20_000, 3, 99_998, "mit,mit-notice")
+    assert got[2].n_base == 5_000 and got[2].labels == "mit" and got[3].labels == "" and 0 < got[3].score < 0.7
+
+
+def test_own_licences(spark):
+    table = spark.createDataFrame([("house", "our house terms", "Use is subject to our house terms, of May"), ("other", "other terms", "under other terms")], "label string, phrase string, text string")
+    own = license_index.templates_of(table)
+    docs = spark.createDataFrame([(i, _text(i, 80)) for i in range(30)] + [(50, "x use is subject to our house terms of may"), (51, "MIT license")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_index.scan(docs, own).collect()}
+    assert got[50] == "house" and got[51] == "mit" and got[3] == ""
+    for bad in ([("a", "not there", "text")], [("a", "", "text")], [(None, "text", "text")], [], [("a", "w", "w " * 6000)]):
+        with pytest.raises(ValueError, match="template"):
+            license_index.checked(bad)
+
+
 def test_languages_held_out(spark):
     sets = {"en": "the of and to in is that it for was".split(), "de": "der die und den von zu das mit sich auf".split()}
     rows = [(i, " ".join(np.random.default_rng(i).choice(sets[k], 30)), k) for i in range(200) for k in [("en", "de")[i % 2]]]
