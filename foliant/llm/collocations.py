@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ TOP = 2000
 HELD = 80
 #: Words counted at once by a task, and bounds of the filter in bits (16 MB at most).
 BLOCK_WORDS = 1 << 21
+#: Phrases written at once.
+SLICE = 1 << 17
 FILTER_BITS = (16, 27)
 BITS_A_PHRASE = 16
 PROBES = 3
@@ -105,8 +108,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         yield block
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode()))
+def _word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
+    """Hash of each word in its language."""
+    seeds = {lang: xxhash.xxh64_intdigest(lang.encode()) for lang in set(langs)}
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seeds[g]) for g, w in zip(langs, words, strict=True)), _U, len(words))
 
 
 def _joined(hashes: list[np.ndarray]) -> np.ndarray:
@@ -142,7 +148,7 @@ def _filter_of(level: DataFrame, n: int) -> tuple[np.ndarray, int]:
             grams = [g.split(b" ") for g in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = list(zip(*grams, strict=True))
             langs = batch.column(0).to_pylist()
-            hashes = [np.array([_word_hash(k, w) for k, w in zip(langs, c, strict=True)], _U) for c in columns]
+            hashes = [_word_hashes(langs, c) for c in columns]
             at = np.concatenate(list(_probes(_joined(hashes), bits)))
             bit = np.left_shift(_U(1), at & _U(63)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int64)), pa.array(bit)], names=["block", "bit"])
@@ -161,7 +167,7 @@ def _candidates(block: _Block, ids: np.ndarray, k: int, held) -> np.ndarray:
         real &= ids[j : j + m] >= 0
     if k == 1:
         return np.flatnonzero(real)
-    own = np.array([_word_hash(g, w) for g, w in zip(block.langs, block.words, strict=True)], _U)
+    own = _word_hashes(block.langs, block.words)
     at = own[np.maximum(ids, 0)]
     shorter = _in_filter(_joined([at[j : j + m + 1] for j in range(k - 1)]), *held)
     return np.flatnonzero(real & shorter[:m] & shorter[1 : m + 1])
@@ -170,6 +176,10 @@ def _candidates(block: _Block, ids: np.ndarray, k: int, held) -> np.ndarray:
 def _phrases(ids: np.ndarray, starts: np.ndarray, k: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct phrase of k words, and its number of places; exact."""
     key = ids[starts]
+    if k == 1:
+        first = np.zeros(n_words, np.int64)
+        first[key[::-1]] = starts[::-1]
+        return first, np.bincount(key, minlength=n_words)
     top = n_words
     for j in range(1, k):
         if top > (1 << 62) // n_words:
@@ -186,24 +196,27 @@ def _level(words: DataFrame, k: int, least: int, held) -> DataFrame:
     spark = words.sparkSession
     sent = spark.sparkContext.broadcast(held)
 
+    def rows(langs, grams, n) -> pa.RecordBatch:
+        columns = [pa.array(langs, pa.string()), grams, pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "c"])
+
     def count(batches):
         for block in _blocks(batches):
             ids = block.ids()
             if block.words:
                 at, n = _phrases(ids, _candidates(block, ids, k, sent.value), k, len(block.words))
-                grams = [b" ".join([block.words[i] for i in row]) for row in np.column_stack([ids[at + j] for j in range(k)]).tolist()]
-                langs = [block.langs[i] for i in ids[at].tolist()]
+                known = pa.array(block.words, pa.binary())
+                of_lang = pa.array(block.langs, pa.string())
+                for a in range(0, len(at), SLICE):
+                    own = at[a : a + SLICE]
+                    parts = [known.take(pa.array(ids[own + j])) for j in range(k)]
+                    grams = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
+                    yield rows(of_lang.take(pa.array(ids[own])), grams.cast(pa.string()), n[a : a + SLICE])
                 if k == 1:
-                    totals: dict[str, int] = {}
-                    for g, c in zip(langs, n.tolist(), strict=True):
-                        totals[g] = totals.get(g, 0) + c
-                    langs, grams, n = [*langs, *totals], [*grams, *[None] * len(totals)], np.concatenate([n, list(totals.values())])
-                for a in range(0, len(grams), 1 << 17):
-                    cut = slice(a, a + (1 << 17))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(langs[cut], pa.string()), pa.array(grams[cut], pa.binary()).cast(pa.string()), pa.array(n[cut], pa.int64())],
-                        names=["lang", "gram", "c"],
-                    )
+                    langs = sorted(block.tables)
+                    number = {lang: i for i, lang in enumerate(langs)}
+                    sizes = np.bincount([number[g] for g in block.langs], np.bincount(ids[ids >= 0], minlength=len(block.langs)), len(langs))
+                    yield rows(langs, pa.nulls(len(langs), pa.string()), sizes.astype(np.int64))
             give_back()
 
     sums = words.mapInArrow(count, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
