@@ -393,10 +393,10 @@ def escape_markdown(text: Column) -> Column:
 
 
 def is_safe_asset_path(path: Column) -> Column:
-    """FN34, FN46: relative, without traversal, query or scheme."""
-    plain = path
-    for _ in range(3):
-        plain = F.coalesce(F.try_url_decode(plain), plain)
+    """FN34, FN46: relative, without traversal, query or scheme, however often it is percent-encoded."""
+    # every further encoding leaves one more "25" behind a percent sign, so that many rounds reach the end
+    rounds = F.sequence(F.lit(0), F.length(path) - F.length(F.replace(path, F.lit("25"), F.lit("2"))))
+    plain = F.aggregate(rounds, path, lambda p, _: F.coalesce(F.try_url_decode(p), p))
     return (
         (path != "") & ~plain.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:|^[/\\]|[?#\x00-\x1F\\]") & ~plain.rlike(r"(?:^|/)\.\.(?:/|$)")
     )

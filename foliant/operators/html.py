@@ -7,8 +7,10 @@ ancestor test is a comparison of two numbers.  Everything after the parser is re
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,12 +31,65 @@ NODES = (
 )
 
 
-class _Builder(HTMLParser):
+_MARK = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_COMMENT_END = re.compile("--!?>")
+_TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*=+\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style")}
+
+
+def _events(source: str) -> Iterator[tuple]:
+    """(kind, tag, attributes, text) of a page in time linear in it; kinds: text, open, single, close.
+
+    Comments, declarations and instructions are left out, one that never ends with all that follows.  A mark that no
+    ``>`` ends is text.  After a tag whose quotes never close, quotes are ordinary characters.
+    """
+    at, n, last, quotes, text = 0, len(source), source.rfind(">"), True, ""
+    while at < n:
+        m = _MARK.search(source, at)
+        if m is None or (not m[1] and m.end() > last):
+            text += unescape(source[at:])
+            break
+        if at < m.start():
+            text += unescape(source[at : m.start()])
+        if m[1]:
+            end = _COMMENT_END.search(source, m.end())
+            at = end.end() if end else n
+            continue
+        end = _TAG_END.match(source, m.end()) if m[3] and quotes else None
+        if m[3] and end is None:
+            quotes = False
+        at = end.end() if end else source.index(">", m.end()) + 1
+        if not m[3]:
+            continue
+        if text:
+            yield "text", None, None, text
+            text = ""
+        tag = m[3].lower()
+        if m[2]:
+            yield "close", tag, None, None
+            continue
+        inner = source[m.end() : at - 1]
+        attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(inner)} if inner else {}
+        yield "single" if inner.endswith("/") else "open", tag, attrs, None
+        if tag in _RAW_END and not inner.endswith("/"):
+            end = _RAW_END[tag].search(source, at)
+            if at < (end.start() if end else n):
+                yield "text", None, None, source[at : end.start() if end else n]
+            at = end.end() if end else n
+            yield "close", tag, None, None
+    if text:
+        yield "text", None, None, text
+
+
+class _Builder:
+    """Node rows of one page; end tags without an open element are passed over."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.stack: list[int] = []
         self.counts: list[int] = []
+        self.open: Counter = Counter()
         self.clock = 0
 
     def _add(self, kind: str, tag: str | None, attrs: dict | None, text: str | None) -> int:
@@ -49,30 +104,30 @@ class _Builder(HTMLParser):
     def _close(self) -> None:
         self.counts.pop()
         self.clock += 1
-        self.rows[self.stack.pop()][5] = self.clock
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th") and self.stack and self.rows[self.stack[-1]][7] == tag:
-            self._close()
-        at = self._add("element", tag, {k: v or "" for k, v in attrs}, None)
-        if tag not in VOID:
-            self.stack.append(at)
-            self.counts.append(0)
-
-    def handle_startendtag(self, tag, attrs):
-        self._add("element", tag, {k: v or "" for k, v in attrs}, None)
-
-    def handle_endtag(self, tag):
-        open_ = [self.rows[i][7] for i in self.stack]
-        if tag in open_:
-            while self.rows[self.stack[-1]][7] != tag:
-                self._close()
+        row = self.rows[self.stack.pop()]
+        row[5] = self.clock
+        self.open[row[7]] -= 1
+
+    def feed(self, source: str) -> None:
+        for kind, tag, attrs, text in _events(source):
+            if kind == "text":
+                self._add("text", None, None, text)
+            elif kind == "close":
+                if self.open[tag]:
+                    while self.rows[self.stack[-1]][7] != tag:
+                        self._close()
+                    self._close()
+            else:
+                if kind == "open" and tag in ("p", "li", "tr", "td", "th") and self.stack and self.rows[self.stack[-1]][7] == tag:
+                    self._close()
+                at = self._add("element", tag, attrs, None)
+                if kind == "open" and tag not in VOID:
+                    self.stack.append(at)
+                    self.counts.append(0)
+                    self.open[tag] += 1
+        while self.stack:
             self._close()
 
-    def handle_data(self, data):
-        if data:
-            self._add("text", None, None, data)
-
 
 _FIELDS = [
     ("doc_id", pa.string()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("pre", pa.int64()), ("post", pa.int64()),
@@ -94,9 +149,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             b = _Builder()
             b.feed(html or "")
-            b.close()
-            while b.stack:
-                b._close()
             for row in b.rows:
                 if row[8] is not None:
                     row[8] = list(row[8].items())
@@ -137,18 +189,43 @@ def has_class(name: str) -> Column:
     return F.coalesce(F.array_contains(F.split(attr("class"), r"\s+"), name), F.lit(False))
 
 
+def _cover(nodes: DataFrame, tops: DataFrame, strict: bool) -> DataFrame:
+    """``nodes`` with __cover, the number of tops around each: a running sum of opened less closed ones in page order."""
+    own = nodes.select("doc_id", F.col("pre").alias("at"), F.lit(0 if strict else 1).alias("turn"), F.lit(0).alias("d"), F.struct(*nodes.columns).alias("n"))
+    edge = lambda at, turn, d: tops.select("doc_id", F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(d).alias("d"), F.lit(None).cast(own.schema["n"].dataType).alias("n"))
+    rows = own.union(edge("pre", 1 if strict else 0, 1)).union(edge("post", 2, -1))
+    w = W.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("c", F.sum("d").over(w)).where("n is not null").select("n.*", F.col("c").alias("__cover"))
+
+
 def below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """TR02: nodes strictly inside any of the tops."""
-    t = tops.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__a"), F.col("post").alias("__b"))
-    on = (nodes["doc_id"] == t["__d"]) & (nodes["pre"] > t["__a"]) & (nodes["post"] <= t["__b"])
-    return nodes.join(t, on, "left_semi")
+    return _cover(nodes, tops, True).where("__cover > 0").drop("__cover")
 
 
 def not_below(nodes: DataFrame, tops: DataFrame, strict: bool = False) -> DataFrame:
     """TR02: nodes outside all of the tops (with ``strict`` the tops themselves stay)."""
-    t = tops.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__a"), F.col("post").alias("__b"))
-    inside = (nodes["pre"] > t["__a"]) if strict else (nodes["pre"] >= t["__a"])
-    return nodes.join(t, (nodes["doc_id"] == t["__d"]) & inside & (nodes["post"] <= t["__b"]), "left_anti")
+    return _cover(nodes, tops, strict).where("__cover = 0").drop("__cover")
+
+
+def pairs_below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """TR02: (doc_id, top, node) structs of each top with each node strictly inside it; a top without one has a null node.
+
+    Nodes are numbered in page order, a top holds those between the numbers at its two ends, and the pairs are a
+    join on these numbers: rows grow with nodes, tops and pairs, not with their product.
+    """
+    n = nodes.select("doc_id", F.col("pre").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("d"), F.struct(*nodes.columns).alias("node"))
+    t = tops.select("doc_id", "pre", "post", F.struct(*tops.columns).alias("top")).withColumn("row", F.monotonically_increasing_id())
+    of_node, of_top = n.schema["node"].dataType, t.schema["top"].dataType
+    none = lambda kind: F.lit(None).cast(kind)
+    edge = lambda at, turn: t.select("doc_id", F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(0).alias("d"), none(of_node).alias("node"), "top", "row")
+    rows = n.withColumns({"top": none(of_top), "row": none("long")}).union(edge("pre", 1)).union(edge("post", 2))
+    w = W.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("k", F.sum("d").over(w))
+    numbered = rows.where("node is not null").select("doc_id", "k", "node")
+    ends = rows.where("node is null").groupBy("doc_id", "row").agg(F.first("top").alias("top"), F.min("k").alias("a"), F.max("k").alias("b"))
+    inside = F.when(F.col("b") > F.col("a"), F.sequence(F.col("a") + 1, F.col("b")))
+    return ends.select("doc_id", "top", F.explode_outer(inside).alias("k")).join(numbered, ["doc_id", "k"], "left").select("doc_id", "top", "node")
 
 
 def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: list[str] | None = None) -> DataFrame:
@@ -156,10 +233,9 @@ def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: li
     text = nodes.where("type = 'text'")
     if skip:
         text = not_below(text, nodes.where(F.col("tag").isin(skip)))
-    t = tops.select(F.col("doc_id").alias("__d"), F.col(key).alias("__key"), F.col("pre").alias("__a"), F.col("post").alias("__b"))
-    rows = t.join(text, (text["doc_id"] == t["__d"]) & (text["pre"] > t["__a"]) & (text["post"] <= t["__b"]), "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return rows.groupBy(F.col("__d").alias("doc_id"), F.col("__key").alias(key)).agg(squeeze(joined).alias("text"))
+    rows = pairs_below(text.select("doc_id", "pre", "text"), tops.select("doc_id", "pre", "post", F.col(key).alias("key")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node.pre", "node.text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    return rows.groupBy("doc_id", F.col("top.key").alias(key)).agg(squeeze(joined).alias("text"))
 
 
 def sanitize(nodes: DataFrame, local_only: bool = False) -> DataFrame:
@@ -235,10 +311,10 @@ def duplicate_ids(nodes: DataFrame) -> DataFrame:
 
 def section_of(nodes: DataFrame, items: DataFrame) -> DataFrame:
     """TR06: the outermost section around each item, else ``front``."""
-    s = nodes.where("tag = 'section'").select(F.col("doc_id").alias("__d"), attr("id").alias("__id"), F.col("pre").alias("__a"), F.col("post").alias("__b"), F.col("depth").alias("__depth"))
-    rows = items.join(s, (items["doc_id"] == s["__d"]) & (items["pre"] > s["__a"]) & (items["post"] <= s["__b"]), "left")
-    out = rows.groupBy(items["doc_id"], items["node_id"]).agg(F.min_by("__id", "__depth").alias("section_id"))
-    return items.join(out, ["doc_id", "node_id"]).withColumn("section_id", F.coalesce("section_id", F.lit("front")))
+    s = nodes.where("tag = 'section'").select("doc_id", "pre", "post", "depth", attr("id").alias("id"))
+    rows = pairs_below(items.select("doc_id", "pre", "node_id"), s).where("node is not null")
+    out = rows.groupBy("doc_id", F.col("node.node_id").alias("node_id")).agg(F.min_by("top.id", "top.depth").alias("section_id"))
+    return items.join(out, ["doc_id", "node_id"], "left").withColumn("section_id", F.coalesce("section_id", F.lit("front")))
 
 
 def section_level(classes: Column) -> Column:
@@ -260,8 +336,7 @@ def opaque_siblings(nodes: DataFrame) -> DataFrame:
     """TR05: the paragraph container of an error and those after it among its siblings."""
     errors = nodes.where(has_class("ltx_ERROR") | has_class("ltx_error"))
     boxes = nodes.where((F.col("tag") == "div") & has_class("ltx_para"))
-    e = errors.select(F.col("doc_id").alias("__d"), F.col("pre").alias("__p"))
-    hit = boxes.join(e, (boxes["doc_id"] == e["__d"]) & (e["__p"] > boxes["pre"]) & (e["__p"] < boxes["post"]), "left_semi")
+    hit = pairs_below(errors.select("doc_id", "pre"), boxes).where("node is not null").select("top.*")
     first = hit.groupBy("doc_id", "parent_id").agg(F.min("ordinal").alias("__first"))
     return boxes.join(first, ["doc_id", "parent_id"]).where("ordinal >= __first").drop("__first")
 
@@ -302,11 +377,10 @@ def tokenize_units(nodes: DataFrame, units: DataFrame) -> DataFrame:
     Numbers count up from 1 in page order and pass over tokens that stand literally in the unit's text.
     """
     p = protected_nodes(nodes)
-    t = units.select(F.col("doc_id").alias("__d"), "unit_id", F.col("pre").alias("__a"), F.col("post").alias("__b"), F.col("source_text").alias("__s"))
-    inside = lambda x: (x["doc_id"] == t["__d"]) & (x["pre"] > t["__a"]) & (x["post"] <= t["__b"])
-    own = t.join(p, inside(p)).select("__d", "unit_id", "node_id", "pre", "post", "__s")
-    own = own.withColumnRenamed("__d", "doc_id")
-    shown = plain_text(nodes, own)
+    t = units.select("doc_id", "unit_id", "pre", "post", F.col("source_text").alias("s"))
+    own = pairs_below(p.select("doc_id", "pre", "post", "node_id"), t).where("node is not null")
+    own = own.select("doc_id", "top.unit_id", "node.node_id", "node.pre", "node.post", F.col("top.s").alias("__s"))
+    shown = plain_text(nodes, p)
     own = own.join(shown, ["doc_id", "node_id"])
     rank = F.row_number().over(W.partitionBy("doc_id", "unit_id").orderBy("pre"))
     taken = F.transform(F.regexp_extract_all("__s", F.lit(r"\[\[PTX_(\d{4})\]\]"), F.lit(1)), lambda x: x.cast("int"))
@@ -314,7 +388,8 @@ def tokenize_units(nodes: DataFrame, units: DataFrame) -> DataFrame:
     own = own.withColumn("token", F.format_string("[[PTX_%04d]]", F.element_at(free, rank)))
     text = nodes.where("type = 'text'")
     free_text = not_below(text, p)
-    parts = t.join(free_text, inside(free_text)).select(F.col("__d").alias("doc_id"), "unit_id", "pre", F.col("text").alias("s"))
+    parts = pairs_below(free_text.select("doc_id", "pre", "text"), t).where("node is not null")
+    parts = parts.select("doc_id", "top.unit_id", "node.pre", F.col("node.text").alias("s"))
     parts = parts.unionByName(own.select("doc_id", "unit_id", "pre", F.col("token").alias("s")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "s"))), lambda x: x["s"]), "")
     out = parts.groupBy("doc_id", "unit_id").agg(squeeze(joined).alias("translation_source"))
@@ -336,9 +411,10 @@ def math_source(nodes: DataFrame) -> DataFrame:
     """FN39: TeX annotation, else alternative text, else the presentation."""
     m = nodes.where("tag = 'math'")
     a = nodes.where((F.col("tag") == "annotation") & (attr("encoding") == "application/x-tex"))
-    tex = plain_text(nodes, a).join(a.select("doc_id", "node_id", F.col("pre").alias("__p")), ["doc_id", "node_id"]).select(F.col("doc_id").alias("__d"), "__p", F.col("text").alias("__tex"))
-    rows = m.join(tex, (m["doc_id"] == tex["__d"]) & (tex["__p"] > m["pre"]) & (tex["__p"] < m["post"]), "left")
-    best = rows.groupBy("doc_id", "node_id").agg(F.min_by("__tex", "__p").alias("__tex"), F.first(attr("alttext")).alias("__alt"))
+    tex = plain_text(nodes, a).join(a.select("doc_id", "node_id", "pre"), ["doc_id", "node_id"]).select("doc_id", "pre", "text")
+    rows = pairs_below(tex, m.select("doc_id", "node_id", "pre", "post", attr("alttext").alias("alt")))
+    rows = rows.select("doc_id", "top.node_id", "top.alt", F.col("node.pre").alias("__p"), F.col("node.text").alias("__tex"))
+    best = rows.groupBy("doc_id", "node_id").agg(F.min_by("__tex", "__p").alias("__tex"), F.first("alt").alias("__alt"))
     shown = plain_text(nodes, m).withColumnRenamed("text", "__shown")
     return best.join(shown, ["doc_id", "node_id"]).select("doc_id", "node_id", F.coalesce(F.nullif(F.trim("__tex"), F.lit("")), "__alt", "__shown").alias("tex"))
 
