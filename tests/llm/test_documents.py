@@ -404,6 +404,21 @@ def test_licences(docs, spark):
     assert "bsd-text" not in got[1].labels and "bsd-text" in got[2].labels and "bsd-text" not in got[3].labels
 
 
+def test_predictions_do_not_depend_on_the_matrices(spark, monkeypatch):
+    rows = [(i, _text(i, 25, [f"{chr(97 + k)}{j}x" for j in range(12)]), f"l{k:02d}") for i in range(260) for k in [i % 13]]
+    rows += [(None, "a1x b2x a3x", "l00"), (500, None, "l01"), (501, "123", "l02"), (502, "zz yy", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(map(tuple, langid.predict_languages(df).collect()), key=str)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 5 * (4 << langid.BUCKET_BITS))
+    monkeypatch.setattr(langid, "GATHER_LANGUAGES", 2)
+    assert len(langid.fit(df)) == 3
+    split = sorted(map(tuple, langid.predict_languages(df).collect()), key=str)
+    assert [r[:3] for r in split] == [r[:3] for r in whole] and len({r[2] for r in whole}) > 10
+    assert np.allclose([r[3] for r in split], [r[3] for r in whole], atol=1e-9)
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and kept.count() == sum(r[3] >= 0.5 for r in whole)
+
+
 def test_many_notices_in_one_file(spark):
     filler = [(100 + i, _text(i, 300)) for i in range(40)]
     rows = [(1, "Released under the MIT License. " * 20_000), (2, "MIT License. " * 5_000), (3, "permission is hereby granted free of charge " * 3_000)]
