@@ -160,7 +160,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_html(pages: DataFrame, doc: str = "doc_id", html: str = "html") -> DataFrame:
-    """TR01, TR07: pages to node rows; comments are dropped, text is decoded."""
+    """TR01: pages to node rows; comments are dropped, text is decoded."""
     return pages.select(F.col(doc).cast("string").alias("doc_id"), F.col(html).alias("html")).mapInArrow(_parse, NODES)
 
 
@@ -228,14 +228,14 @@ def pairs_below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     return ends.select("doc_id", "top", F.explode_outer(inside).alias("k")).join(numbered, ["doc_id", "k"], "left").select("doc_id", "top", "node")
 
 
-def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: list[str] | None = None) -> DataFrame:
-    """TR03: squeezed text inside each top, in page order; subtrees of the skipped tags left out."""
+def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: list[str] | None = None, squeezed: bool = True) -> DataFrame:
+    """TR03: (squeezed) text inside each top, in page order; subtrees of the skipped tags left out."""
     text = nodes.where("type = 'text'")
     if skip:
         text = not_below(text, nodes.where(F.col("tag").isin(skip)))
     rows = pairs_below(text.select("doc_id", "pre", "text"), tops.select("doc_id", "pre", "post", F.col(key).alias("key")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node.pre", "node.text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return rows.groupBy("doc_id", F.col("top.key").alias(key)).agg(squeeze(joined).alias("text"))
+    return rows.groupBy("doc_id", F.col("top.key").alias(key)).agg((squeeze(joined) if squeezed else joined).alias("text"))
 
 
 def sanitize(nodes: DataFrame, local_only: bool = False) -> DataFrame:
@@ -415,7 +415,7 @@ def math_source(nodes: DataFrame) -> DataFrame:
     rows = pairs_below(tex, m.select("doc_id", "node_id", "pre", "post", attr("alttext").alias("alt")))
     rows = rows.select("doc_id", "top.node_id", "top.alt", F.col("node.pre").alias("__p"), F.col("node.text").alias("__tex"))
     best = rows.groupBy("doc_id", "node_id").agg(F.min_by("__tex", "__p").alias("__tex"), F.first("alt").alias("__alt"))
-    shown = plain_text(nodes, m).withColumnRenamed("text", "__shown")
+    shown = plain_text(nodes, m, skip=["annotation", "annotation-xml"]).withColumnRenamed("text", "__shown")
     return best.join(shown, ["doc_id", "node_id"]).select("doc_id", "node_id", F.coalesce(F.nullif(F.trim("__tex"), F.lit("")), "__alt", "__shown").alias("tex"))
 
 
