@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -260,9 +261,14 @@ def _texts_of_listings(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataF
     return rows.groupBy("doc_id", F.col("top.node_id").alias("node_id")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
 
 
+#: Columns of the listings and tables that become blocks.
+_LISTING = ["doc_id", "node_id", "pre", "post", "anchor", "at", "turn", "sub"]
+_TABLE = ["doc_id", "node_id", "pre", "post", "anchor", "caption", "at"]
+
+
 def _listings(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     """Code blocks of listings (node columns, at, turn, anchor), and the anchors of their lines after each."""
-    keys = tops.select("doc_id", "node_id", "pre", "post", "anchor", "at", "turn", "sub")
+    keys = tops.select(*_LISTING)
     lines = below(own.where("type = 'element'").where(_has(["ltx_listingline"])), keys)
     shown = _texts_of_listings(own, tex, lines).withColumn("line", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).drop("text")
     held = pairs_below(lines.join(shown, ["doc_id", "node_id"], "left").select("doc_id", "pre", "line", "id"), keys)
@@ -280,7 +286,7 @@ def _listings(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
 
 def _tables(own: DataFrame, inner: DataFrame, tops: DataFrame) -> DataFrame:
     """Table blocks of tables (node columns, at, anchor, caption): rows of cells, or raw markup where a cell spans rows."""
-    keys = tops.select("doc_id", "node_id", "pre", "post", "anchor", "caption", "at")
+    keys = tops.select(*_TABLE)
     el = own.where("type = 'element'")
     cells = el.where("tag in ('td', 'th')")
     spans = pairs_below(cells.where(~F.coalesce(attr("rowspan"), F.lit("")).isin("", "1")).select("doc_id", "pre"), keys).where("node is not null")
@@ -323,6 +329,7 @@ def _equations(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     units = rows.select(*cols).join(around, ["doc_id", "node_id"], "left").withColumn("of_row", F.lit(True)).unionByName(
         single.select(*cols).withColumns({"around": F.lit(None).cast("array<string>"), "of_row": F.lit(False)})
     )
+    units = materialise(units, "equation_units")
     keys = units.select("doc_id", "node_id", "pre", "post")
     group = lambda of, value, name: pairs_below(of, keys).where("node is not null").groupBy("doc_id", F.col("top.node_id").alias("node_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("node.pre", F.col(f"node.{value}").alias("v")))), lambda x: x["v"]).alias(name)
@@ -330,7 +337,7 @@ def _equations(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     maths = own.where("tag = 'math'").join(tex.where("tex <> ''"), ["doc_id", "node_id"]).select("doc_id", "pre", tex_for_markdown(F.col("tex"), False).alias("tex"))
     tags = el.where(_has(["ltx_tag_equation"]))
     labels = tags.select("doc_id", "node_id", "pre").join(plain_text(own, tags), ["doc_id", "node_id"]).where("text <> ''").select("doc_id", "pre", "text")
-    u = units.join(group(maths, "tex", "values"), ["doc_id", "node_id"])
+    u = materialise(units.join(group(maths, "tex", "values"), ["doc_id", "node_id"]), "equation_values")
     u = u.join(group(labels, "text", "labels"), ["doc_id", "node_id"], "left").join(group(named.select("doc_id", "pre", "id"), "id", "inside"), ["doc_id", "node_id"], "left")
     empty = F.array().cast("array<string>")
     mine = F.array_compact(F.array("id"))
@@ -344,8 +351,8 @@ def _equations(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     )
 
 
-def _items(own: DataFrame, inner: DataFrame, tex: DataFrame, drawings: DataFrame, lists: DataFrame, items: DataFrame) -> DataFrame:
-    """Items of lists with depth, number and kind, then the listings and drawings inside each."""
+def _items(own: DataFrame, inner: DataFrame, drawings: DataFrame, lists: DataFrame, items: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Items of lists with depth, number and kind and the drawings inside each; the listings inside."""
     el = own.where("type = 'element'")
     outer = lists.where("block = 'list'").select("doc_id", "pre", "post", "node_id", "depth")
     depth = pairs_below(items.select("doc_id", "pre", "node_id"), outer).where("node is not null")
@@ -359,19 +366,23 @@ def _items(own: DataFrame, inner: DataFrame, tex: DataFrame, drawings: DataFrame
     number = F.col("first") + F.row_number().over(W.partitionBy("doc_id", "parent_id").orderBy("pre")) - 1
     i = i.withColumns({"number": number, "reference": F.coalesce("shelf", F.lit(False)) | _has(["ltx_bibitem"])})
     full = F.coalesce("inner", F.lit("")) != ""
-    out = _blocks(i.where(full), F.when(F.col("reference"), "reference").otherwise("list_item"), text=F.col("inner"), level=F.col("level"), anchor=F.col("id"), ordered=F.col("ordered"), start=F.col("number"))
-    out = out.union(_blocks(i.where(~full & F.col("id").isNotNull()), "paragraph", anchor=F.col("id"), markdown=False))
+    i = materialise(i.where(full | F.col("id").isNotNull()).select("doc_id", "pre", "inner", "level", "id", "ordered", "number", "reference"), "numbered_items")
+    out = [
+        _blocks(i.where(full), F.when(F.col("reference"), "reference").otherwise("list_item"), text=F.col("inner"), level=F.col("level"), anchor=F.col("id"), ordered=F.col("ordered"), start=F.col("number")),
+        _blocks(i.where(~full), "paragraph", anchor=F.col("id"), markdown=False),
+    ]
     # what is inside an item belongs to the nearest one
     keys = items.select("doc_id", "pre", "post", "depth")
     near = lambda of: pairs_below(of, keys).where("node is not null").groupBy("doc_id", "node").agg(F.max_by("top.pre", "top.depth").alias("at")).select("node.*", "at")
     listing = near(el.where(_has(["ltx_listing"])).select("doc_id", "node_id", "pre", "post", "id"))
-    out = out.union(_listings(own, tex, listing.withColumns({"anchor": F.col("id"), "turn": F.lit(1), "sub": F.col("pre")})))
+    listing = listing.withColumns({"anchor": F.col("id"), "turn": F.lit(1), "sub": F.col("pre")})
     svg = near(el.where("tag = 'svg'").join(drawings, ["doc_id", "node_id"]).select("doc_id", "pre", "markup"))
-    return out.union(_blocks(svg.where("markup <> ''"), "figure", 2, F.col("pre"), F.col("at"), text=F.col("markup")))
+    return [*out, _blocks(svg.where("markup <> ''"), "figure", 2, F.col("pre"), F.col("at"), text=F.col("markup"))], listing.select(*_LISTING)
 
 
-def _figures(own: DataFrame, inner: DataFrame, tex: DataFrame, drawings: DataFrame, tops: DataFrame) -> DataFrame:
-    """Blocks of figures: the first of listing, table, images, drawing, nested figures and text that one has of its own."""
+def _figures(own: DataFrame, inner: DataFrame, drawings: DataFrame, tops: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Blocks of figures: the first of listing, table, images, drawing, nested figures and text that one has of its
+    own; the listings and tables of theirs."""
     el = own.where("type = 'element'")
     figures = below(el.where("tag = 'figure'"), tops).unionByName(tops)
     f = figures.select("doc_id", "node_id", "pre", "post", "depth", "id", "cls")
@@ -412,11 +423,8 @@ def _figures(own: DataFrame, inner: DataFrame, tex: DataFrame, drawings: DataFra
     of = lambda col: f.select("doc_id", F.col(col).alias("node_id"), F.col("pre").alias("at"), "anchor", "caption", _has(["ltx_figure"]).alias("pictured"), "case").where(F.col("case") == col).drop("case")
     place = el.select("doc_id", "node_id", "pre", "post", "id")
     listing = place.join(of("listing").select("doc_id", "node_id", "at"), ["doc_id", "node_id"]).withColumns({"anchor": F.col("id"), "turn": F.lit(2), "sub": F.lit(0).cast("long")})
-    out = _blocks(case("listing").where(anchor.isNotNull() | caption.isNotNull()), "figure", anchor=anchor, caption=caption)
-    out = out.union(_listings(own, tex, listing))
     table = place.join(of("table"), ["doc_id", "node_id"])
-    out = out.union(_blocks(case("table").where(_has(["ltx_figure"])), "figure", -1, anchor=anchor, caption=caption))
-    out = out.union(_tables(own, inner, table.withColumns({"anchor": F.when(~F.col("pictured"), anchor), "caption": F.when(~F.col("pictured"), caption)})))
+    table = table.withColumns({"anchor": F.when(~F.col("pictured"), anchor), "caption": F.when(~F.col("pictured"), caption)})
     shown = near.where("image").withColumn("k", F.row_number().over(W.partitionBy("doc_id", "owner").orderBy("pre")))
     shown = shown.select("doc_id", F.col("owner").alias("node_id"), F.col("pre").alias("p"), "k", "asset", "label", F.coalesce("inner", none).alias("inside"))
     shown = case("images").join(shown, ["doc_id", "node_id"])
@@ -425,14 +433,17 @@ def _figures(own: DataFrame, inner: DataFrame, tex: DataFrame, drawings: DataFra
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.initcap("visual")))
     words = F.when(one & caption.isNotNull() & ~F.coalesce(F.array_contains(words, caption), F.lit(False)), F.array_append(words, caption)).otherwise(words)
     there = F.col("asset").isNotNull()
-    out = out.union(_blocks(
+    images = _blocks(
         shown, F.col("visual"), 1, F.col("p"), text=F.when(~there, F.array_join(words, "\n\n")), asset=F.col("asset"), label=F.col("label"),
         anchor=F.when(one, anchor), caption=F.when(there & one, caption),
-    ))
+    )
     drawn = F.concat(F.coalesce("drawing", none), F.when(caption.isNull(), "").otherwise(F.concat(F.lit("\n\n*"), caption, F.lit("*"))))
-    out = out.union(_blocks(case("drawing"), F.col("visual"), text=drawn, anchor=anchor))
-    out = out.union(_blocks(case("nested"), "figure", at="post", anchor=anchor, caption=caption))
-    return out.union(_blocks(case("text"), F.col("visual"), text=F.col("text"), anchor=anchor, markdown=False))
+    return [
+        _blocks(case("listing").where(anchor.isNotNull() | caption.isNotNull()), "figure", anchor=anchor, caption=caption),
+        _blocks(case("table").where(_has(["ltx_figure"])), "figure", -1, anchor=anchor, caption=caption), images,
+        _blocks(case("drawing"), F.col("visual"), text=drawn, anchor=anchor), _blocks(case("nested"), "figure", at="post", anchor=anchor, caption=caption),
+        _blocks(case("text"), F.col("visual"), text=F.col("text"), anchor=anchor, markdown=False),
+    ], listing.select(*_LISTING), table.select(*_TABLE)
 
 
 def all_blocks(nodes: DataFrame, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -460,27 +471,35 @@ def all_blocks(nodes: DataFrame, units: DataFrame | None = None) -> tuple[DataFr
     section = section.groupBy("doc_id", F.col("node.node_id").alias("node_id")).agg(F.max_by("top.id", "top.depth").alias("section"))
     anchor = F.col("id")
     headings = with_inner("heading").join(section, ["doc_id", "node_id"], "left")
-    out = _blocks(headings, "heading", text=F.col("inner"), level=F.substring("tag", 2, 1), anchor=F.coalesce("id", "section"))
-    out = out.union(_blocks(with_inner("paragraph"), "paragraph", text=F.col("inner"), anchor=anchor))
     walked = not_below(own.where("type = 'element'"), handlers).where("tag <> 'section'")
-    out = out.union(_blocks(walked.unionByName(of("list")).where("id is not null"), "paragraph", -1, anchor=anchor, markdown=False))
-    out = out.union(_tables(own, inner, of("table").withColumns({"anchor": anchor, "caption": F.lit(None).cast("string"), "at": F.col("pre")})))
-    out = out.union(_equations(own, tex, of("equation")))
-    out = out.union(_items(own, inner, tex, drawings, lists, items))
-    out = out.union(_figures(own, inner, tex, drawings, of("figure")))
-    out = out.union(_listings(own, tex, of("listing").withColumns({"anchor": anchor, "at": F.col("pre"), "turn": F.lit(0), "sub": F.lit(0).cast("long")})))
+    parts = [
+        _blocks(headings, "heading", text=F.col("inner"), level=F.substring("tag", 2, 1), anchor=F.coalesce("id", "section")),
+        _blocks(with_inner("paragraph"), "paragraph", text=F.col("inner"), anchor=anchor),
+        _blocks(walked.unionByName(of("list")).where("id is not null"), "paragraph", -1, anchor=anchor, markdown=False),
+    ]
     code = of("code").drop("text").join(plain_text(own, of("code"), squeezed=False), ["doc_id", "node_id"], "left")
     solid = strip(F.coalesce("text", F.lit(""))) != ""
-    out = out.union(_blocks(code.where(solid), "code", text=F.col("text"), anchor=anchor, markdown=False))
-    out = out.union(_blocks(code.where(~solid & F.col("id").isNotNull()), "paragraph", anchor=anchor, markdown=False))
+    parts.append(_blocks(code.where(solid), "code", text=F.col("text"), anchor=anchor, markdown=False))
+    parts.append(_blocks(code.where(~solid & F.col("id").isNotNull()), "paragraph", anchor=anchor, markdown=False))
     inside = pairs_below(own.where("tag = 'svg'").join(drawings, ["doc_id", "node_id"]).select("doc_id", "pre", "markup"), of("code").select("doc_id", "pre", "post")).where("node is not null")
-    out = out.union(_blocks(inside, "figure", 1, F.col("node.pre"), F.col("top.pre"), text=F.col("node.markup")))
+    parts.append(_blocks(inside, "figure", 1, F.col("node.pre"), F.col("top.pre"), text=F.col("node.markup")))
     math = of("math").join(tex.where("tex <> ''"), ["doc_id", "node_id"])
     display = F.lower(F.coalesce(attr("display"), F.lit(""))) == "block"
     short = tex_for_markdown(F.col("tex"), True)
-    out = out.union(_blocks(math.where(display), "equation", text=tex_for_markdown(F.col("tex"), False), anchor=anchor, markdown=False))
-    out = out.union(_blocks(math.where(~display), "paragraph", text=F.when(is_safe_math(short), F.concat(F.lit("$"), short, F.lit("$"))).otherwise(inline_code(short)), anchor=anchor))
-    out = out.union(_blocks(of("svg").join(drawings, ["doc_id", "node_id"]).where("markup <> ''"), "figure", text=F.col("markup"), anchor=anchor))
+    parts.append(_blocks(math.where(display), "equation", text=tex_for_markdown(F.col("tex"), False), anchor=anchor, markdown=False))
+    parts.append(_blocks(math.where(~display), "paragraph", text=F.when(is_safe_math(short), F.concat(F.lit("$"), short, F.lit("$"))).otherwise(inline_code(short)), anchor=anchor))
+    parts.append(_blocks(of("svg").join(drawings, ["doc_id", "node_id"]).where("markup <> ''"), "figure", text=F.col("markup"), anchor=anchor))
+    in_items, item_listings = _items(own, inner, drawings, lists, items)
+    in_figures, figure_listings, figure_tables = _figures(own, inner, drawings, of("figure"))
+    listings = of("listing").withColumns({"anchor": anchor, "at": F.col("pre"), "turn": F.lit(0), "sub": F.lit(0).cast("long")}).select(*_LISTING)
+    tables = of("table").withColumns({"anchor": anchor, "caption": F.lit(None).cast("string"), "at": F.col("pre")}).select(*_TABLE)
+    # every group is written by itself, which keeps plans small
+    groups = [
+        reduce(DataFrame.union, parts), reduce(DataFrame.union, in_items), reduce(DataFrame.union, in_figures), _equations(own, tex, of("equation")),
+        _listings(own, tex, materialise(listings.union(item_listings).union(figure_listings), "listings")),
+        _tables(own, inner, materialise(tables.union(figure_tables), "tables")),
+    ]
+    out = reduce(DataFrame.union, [materialise(g, "block_group") for g in groups])
 
     order = W.partitionBy("doc_id").orderBy("at", "turn", "sub", "kind", "anchor")
     numbered = materialise(out.withColumn("pos", F.row_number().over(order)).drop("at", "turn", "sub"), "blocks")
@@ -517,7 +536,11 @@ def readable(blocks: DataFrame) -> DataFrame:
     return b.where(keep).drop("wanted", "__a")
 
 
+def sound(blocks: DataFrame, problems: DataFrame) -> DataFrame:
+    """The readable blocks of the documents without a problem."""
+    return readable(blocks.join(problems.select("doc_id").distinct(), "doc_id", "left_anti"))
+
+
 def project(nodes: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """TR07: the readable blocks of every page that can be shown whole; others have none (see ``all_blocks``)."""
-    blocks, problems = all_blocks(nodes, units)
-    return readable(blocks.join(problems.select("doc_id").distinct(), "doc_id", "left_anti"))
+    return sound(*all_blocks(nodes, units))

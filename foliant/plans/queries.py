@@ -511,6 +511,12 @@ def html_nodes(spark, sf):
     return html.parse_html(table(spark, sf, "pages").withColumn("doc_id", F.col("page_id").cast("string"))).select("doc_id", "node_id", "parent_id", "depth", "pre", "post", "type", "tag", "text")
 
 
+@query()
+def page_blocks(spark, sf):
+    n = html.node_table(table(spark, sf, "pages").withColumn("doc_id", F.col("page_id").cast("string")))
+    return projection.project(n).select(F.col("doc_id").cast("long").alias("page_id"), "pos", "kind", "level", "anchor", "text")
+
+
 @query()
 def html_units(spark, sf):
     n = html.node_table(table(spark, sf, "pages").withColumn("doc_id", F.col("page_id").cast("string")))
