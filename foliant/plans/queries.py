@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import chunking, contracts, evaluation, events, html, layout, library, semantic, translation
+from ..operators import chunking, contracts, evaluation, events, html, layout, library, projection, semantic, translation
 from ..session import table
 from .registry import oracle_sql, queries, query
 
