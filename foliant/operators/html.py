@@ -192,8 +192,9 @@ def has_class(name: str) -> Column:
 def _cover(nodes: DataFrame, tops: DataFrame, strict: bool) -> DataFrame:
     """``nodes`` with __cover, the number of tops around each: a running sum of opened less closed ones in page order."""
     own = nodes.select("doc_id", F.col("pre").alias("at"), F.lit(0 if strict else 1).alias("turn"), F.lit(0).alias("d"), F.struct(*nodes.columns).alias("n"))
-    edge = lambda at, turn, d: tops.select("doc_id", F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(d).alias("d"), F.lit(None).cast(own.schema["n"].dataType).alias("n"))
-    rows = own.union(edge("pre", 1 if strict else 0, 1)).union(edge("post", 2, -1))
+    end = lambda at, turn, d: F.struct(F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(d).alias("d"))
+    edges = tops.select("doc_id", F.inline(F.array(end("pre", 1 if strict else 0, 1), end("post", 2, -1))))
+    rows = own.union(edges.withColumn("n", F.lit(None).cast(own.schema["n"].dataType)))
     w = W.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn("c", F.sum("d").over(w)).where("n is not null").select("n.*", F.col("c").alias("__cover"))
 
@@ -208,24 +209,34 @@ def not_below(nodes: DataFrame, tops: DataFrame, strict: bool = False) -> DataFr
     return _cover(nodes, tops, strict).where("__cover = 0").drop("__cover")
 
 
-def pairs_below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """TR02: (doc_id, top, node) structs of each top with each node strictly inside it; a top without one has a null node.
+def _held(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """doc_id, top, held: each top with the nodes strictly inside it, in page order.
 
-    Nodes are numbered in page order, a top holds those between the numbers at its two ends, and the pairs are a
-    join on these numbers: rows grow with nodes, tops and pairs, not with their product.
+    Nodes are numbered in page order and a top holds those between the numbers at its two ends, a slice of its page's
+    array: one shuffle, and work that grows with nodes, tops and what they hold, not with their product.
     """
     n = nodes.select("doc_id", F.col("pre").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("d"), F.struct(*nodes.columns).alias("node"))
-    t = tops.select("doc_id", "pre", "post", F.struct(*tops.columns).alias("top")).withColumn("row", F.monotonically_increasing_id())
+    end = lambda at, turn: F.struct(F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(0).alias("d"))
+    t = tops.select("doc_id", F.struct(*tops.columns).alias("top"), F.monotonically_increasing_id().alias("row"), F.array(end("pre", 1), end("post", 2)).alias("ends"))
     of_node, of_top = n.schema["node"].dataType, t.schema["top"].dataType
     none = lambda kind: F.lit(None).cast(kind)
-    edge = lambda at, turn: t.select("doc_id", F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(0).alias("d"), none(of_node).alias("node"), "top", "row")
-    rows = n.withColumns({"top": none(of_top), "row": none("long")}).union(edge("pre", 1)).union(edge("post", 2))
+    edges = t.select("doc_id", "top", "row", F.inline("ends")).select("doc_id", "at", "turn", "d", none(of_node).alias("node"), "top", "row")
+    rows = n.withColumns({"top": none(of_top), "row": none("long")}).union(edges)
     w = W.partitionBy("doc_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("k", F.sum("d").over(w))
-    numbered = rows.where("node is not null").select("doc_id", "k", "node")
-    ends = rows.where("node is null").groupBy("doc_id", "row").agg(F.first("top").alias("top"), F.min("k").alias("a"), F.max("k").alias("b"))
-    inside = F.when(F.col("b") > F.col("a"), F.sequence(F.col("a") + 1, F.col("b")))
-    return ends.select("doc_id", "top", F.explode_outer(inside).alias("k")).join(numbered, ["doc_id", "k"], "left").select("doc_id", "top", "node")
+    by = lambda key: lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+    some = lambda turn, *what: F.collect_list(F.when(F.col("turn") == turn, F.struct(*what)))
+    page = rows.groupBy("doc_id").agg(
+        F.array_sort(some(0, "k", "node"), by("k")).alias("n"), F.array_sort(some(1, "row", "k", "top"), by("row")).alias("a"), F.array_sort(some(2, "row", "k"), by("row")).alias("b")
+    )
+    inside = lambda a, b: F.transform(F.slice("n", (a["k"] + 1).cast("int"), (b["k"] - a["k"]).cast("int")), lambda x: x["node"])
+    held = F.zip_with("a", "b", lambda a, b: F.struct(a["top"].alias("top"), inside(a, b).alias("held")))
+    return page.where(F.size("a") > 0).select("doc_id", F.inline(held))
+
+
+def pairs_below(nodes: DataFrame, tops: DataFrame) -> DataFrame:
+    """TR02: (doc_id, top, node) structs of each top with each node strictly inside it; a top without one has a null node."""
+    return _held(nodes, tops).select("doc_id", "top", F.explode_outer("held").alias("node"))
 
 
 def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: list[str] | None = None, squeezed: bool = True) -> DataFrame:
@@ -233,9 +244,9 @@ def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: li
     text = nodes.where("type = 'text'")
     if skip:
         text = not_below(text, nodes.where(F.col("tag").isin(skip)))
-    rows = pairs_below(text.select("doc_id", "pre", "text"), tops.select("doc_id", "pre", "post", F.col(key).alias("key")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node.pre", "node.text"))), lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return rows.groupBy("doc_id", F.col("top.key").alias(key)).agg((squeeze(joined) if squeezed else joined).alias("text"))
+    rows = _held(text.select("doc_id", "pre", "text"), tops.select("doc_id", "pre", "post", F.col(key).alias("key")))
+    joined = F.array_join(F.transform("held", lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    return rows.select("doc_id", F.col("top.key").alias(key), (squeeze(joined) if squeezed else joined).alias("text"))
 
 
 def sanitize(nodes: DataFrame, local_only: bool = False) -> DataFrame:

@@ -269,13 +269,13 @@ _TABLE = ["doc_id", "node_id", "pre", "post", "anchor", "caption", "at"]
 def _listings(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     """Code blocks of listings (node columns, at, turn, anchor), and the anchors of their lines after each."""
     keys = tops.select(*_LISTING)
-    lines = below(own.where("type = 'element'").where(_has(["ltx_listingline"])), keys)
+    lines = materialise(below(own.where("type = 'element'").where(_has(["ltx_listingline"])), keys).select("doc_id", "node_id", "pre", "post", "id"), "listing_lines")
     shown = _texts_of_listings(own, tex, lines).withColumn("line", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).drop("text")
     held = pairs_below(lines.join(shown, ["doc_id", "node_id"], "left").select("doc_id", "pre", "line", "id"), keys)
     lined = F.array_sort(F.collect_list(F.struct("node.pre", "node.line", "node.id")))
     found = held.groupBy("doc_id", F.col("top.node_id").alias("node_id")).agg(lined.alias("lines"))
     whole = _texts_of_listings(own, tex, keys).withColumnRenamed("text", "whole")
-    k = keys.join(found, ["doc_id", "node_id"]).join(whole, ["doc_id", "node_id"])
+    k = materialise(keys.join(found, ["doc_id", "node_id"]).join(whole, ["doc_id", "node_id"]), "listing_texts")
     joined = strip(F.array_join(F.transform("lines", lambda x: F.coalesce(x["line"], F.lit(""))), "\n"))
     text = F.coalesce(F.nullif(joined, F.lit("")), strip(F.col("whole")))
     code = _blocks(k, "code", F.col("turn"), F.col("sub"), F.col("at"), False, text=text, anchor=F.col("anchor"), language="text")
@@ -291,7 +291,7 @@ def _tables(own: DataFrame, inner: DataFrame, tops: DataFrame) -> DataFrame:
     cells = el.where("tag in ('td', 'th')")
     spans = pairs_below(cells.where(~F.coalesce(attr("rowspan"), F.lit("")).isin("", "1")).select("doc_id", "pre"), keys).where("node is not null")
     tall = spans.select("doc_id", F.col("top.node_id").alias("node_id"), F.lit(True).alias("tall")).distinct()
-    keys = keys.join(tall, ["doc_id", "node_id"], "left")
+    keys = materialise(keys.join(tall, ["doc_id", "node_id"], "left"), "table_tops")
     high, flat = keys.where("tall"), keys.where("tall is null")
     raw = high.join(markup(own.drop("cls", "id", "ptag", "value", "ids", "unit", "block", "inline", "slot"), high, TABLE_TAGS), ["doc_id", "node_id"])
     lead = F.when(F.coalesce("caption", F.lit("")) == "", "").otherwise(F.concat(F.lit("*"), "caption", F.lit("*\n\n")))
@@ -319,7 +319,7 @@ def _equations(own: DataFrame, tex: DataFrame, tops: DataFrame) -> DataFrame:
     """Equation blocks: one a row of an equation table, with the anchors around and inside it before; else one a top."""
     el = own.where("type = 'element'")
     rows = below(el.where((F.col("tag") == "tr") & (_has(["ltx_eqn_row"]) | _has(EQUATION_CLASSES))), tops)
-    rows = not_below(rows, rows, strict=True)
+    rows = materialise(not_below(rows, rows, strict=True), "equation_rows")
     with_rows = pairs_below(rows.select("doc_id", "pre"), tops.select("doc_id", "node_id", "pre", "post")).where("node is not null").select("doc_id", "top.node_id").distinct()
     single = tops.join(with_rows, ["doc_id", "node_id"], "left_anti")
     named = el.where("id is not null").select("doc_id", "node_id", "pre", "post", "depth", "id")
@@ -402,6 +402,7 @@ def _figures(own: DataFrame, inner: DataFrame, drawings: DataFrame, tops: DataFr
     own_of = pairs_below(slim, f.select("doc_id", "pre", "post", "depth", "node_id")).where("node is not null")
     # the nearest figure owns a thing; a figure is owned by the one around it
     near = own_of.groupBy("doc_id", "node").agg(F.max_by("top.node_id", "top.depth").alias("owner")).select("owner", "node.*")
+    near = materialise(near, "owned")
     first = lambda test, what: F.min(F.when(test, F.struct("pre", what)))[what]
     tag = F.col("tag")
     facts = near.groupBy("doc_id", F.col("owner").alias("node_id")).agg(
