@@ -244,9 +244,14 @@ def plain_text(nodes: DataFrame, tops: DataFrame, key: str = "node_id", skip: li
     text = nodes.where("type = 'text'")
     if skip:
         text = not_below(text, nodes.where(F.col("tag").isin(skip)))
-    rows = _held(text.select("doc_id", "pre", "text"), tops.select("doc_id", "pre", "post", F.col(key).alias("key")))
+    return with_text(text, tops.select("doc_id", "pre", "post", F.col(key).alias("__key")), squeezed).select("doc_id", F.col("__key").alias(key), "text")
+
+
+def with_text(texts: DataFrame, tops: DataFrame, squeezed: bool = True, name: str = "text") -> DataFrame:
+    """TR03: the tops with the (squeezed) text nodes inside each, in page order; still dealt by document."""
     joined = F.array_join(F.transform("held", lambda x: F.coalesce(x["text"], F.lit(""))), "")
-    return rows.select("doc_id", F.col("top.key").alias(key), (squeeze(joined) if squeezed else joined).alias("text"))
+    own = [F.col(f"top.{c}").alias(c) for c in tops.columns if c not in ("doc_id", name)]
+    return _held(texts.select("doc_id", "pre", "text"), tops).select("doc_id", *own, (squeeze(joined) if squeezed else joined).alias(name))
 
 
 def sanitize(nodes: DataFrame, local_only: bool = False) -> DataFrame:
@@ -369,8 +374,7 @@ def unit_nodes(nodes: DataFrame, profile: str = "generic") -> DataFrame:
     else:
         own = below(el.where(F.col("tag").isin([*HEADINGS, "p"])), el.where("tag = 'article'"))
         own = not_below(own, el.where(F.col("tag").isin("nav", "footer", "aside", "form", "figure", "table")))
-    text = plain_text(nodes, own)
-    out = own.join(text.withColumnRenamed("text", "source_text"), ["doc_id", "node_id"]).where(F.col("source_text").rlike("[A-Za-z]"))
+    out = with_text(nodes.where("type = 'text'"), own, name="source_text").where(F.col("source_text").rlike("[A-Za-z]"))
     kind = F.when(has_class("ltx_note_content"), "footnote").when(has_class("ltx_title_document"), "title").when(F.col("tag").isin(HEADINGS), "heading").otherwise("paragraph")
     w = W.partitionBy("doc_id").orderBy("pre")
     return out.withColumn("kind", kind).withColumn("unit_id", F.format_string("html-%04d", F.row_number().over(w)))
