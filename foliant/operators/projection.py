@@ -87,12 +87,10 @@ def markup(nodes: DataFrame, tops: DataFrame, tags: list[str]) -> DataFrame:
 
 
 def _marked(nodes: DataFrame, units: DataFrame | None) -> DataFrame:
-    """The nodes below each page's first article with their classes, parents' tags, block kinds and inline kinds."""
+    """The nodes below each page's first article with their classes, block kinds and inline kinds."""
     first = nodes.where("tag = 'article'").groupBy("doc_id").agg(F.min(F.struct("pre", "post")).alias("a")).select("doc_id", "a.pre", "a.post")
     cls = F.split(F.coalesce(attr("class"), F.lit("")), r"\s+")
     own = below(nodes, first).withColumns({"cls": cls, "id": F.nullif(F.trim(attr("id")), F.lit(""))})
-    parent = nodes.where("type = 'element'").select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
-    own = own.join(parent, ["doc_id", "parent_id"], "left")
     if units is None:
         own = own.withColumns({"value": F.lit(None).cast("string"), "ids": F.lit(None).cast("array<string>"), "unit": F.lit(False)})
     else:
@@ -120,10 +118,12 @@ def _marked(nodes: DataFrame, units: DataFrame | None) -> DataFrame:
 def _list_nodes(own: DataFrame, tops: DataFrame) -> DataFrame:
     """Lists that make blocks: top ones, and those that are children of items of such."""
     top = tops.where("block = 'list'")
+    parent = own.where("tag in ('li', 'ul', 'ol')").select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("ptag"))
     good = (F.col("tag").isin("ul", "ol") & (F.col("ptag") == "li")) | ((F.col("tag") == "li") & F.col("ptag").isin("ul", "ol"))
     inside = below(own.where("type = 'element'"), top)
+    inside = materialise(inside.join(parent, ["doc_id", "parent_id"], "left"), "in_lists")
     nested = not_below(inside.where(F.col("tag").isin("ul", "ol")), inside.where(~F.coalesce(good, F.lit(False))))
-    return nested.unionByName(top)
+    return nested.drop("ptag").unionByName(top)
 
 
 _TOKEN = r"\[\[PTX_\d{4}\]\]"
@@ -202,21 +202,19 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "node_id", "inner", "sound"])
 
 
-def inline_markdown(own: DataFrame, tex: DataFrame, drawings: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def inline_markdown(own: DataFrame, tex: DataFrame, drawings: DataFrame, codes: DataFrame, items: DataFrame) -> DataFrame:
     """TR08: (doc_id, node_id, inner, sound): the Markdown inside each node that may make a block.
 
-    ``own`` are marked nodes, ``tex`` and ``drawings`` the TeX and raw markup of theirs.  Lists and marks of ``items``
-    (doc_id, node_id) are left out of what holds them.  ``sound`` is false where a unit's tokens do not match its
+    ``own`` are marked nodes, ``tex``, ``drawings`` and ``codes`` the TeX, raw markup and code of theirs.  Lists and
+    marks of ``items`` (doc_id, node_id) are left out of what holds them.  ``sound`` is false where a unit's tokens do not match its
     protected elements one to one.
     """
     atom = F.col("inline").isin("none", "math", "br", "img", "svg", "code")
     kept = not_below(own, own.where(atom), strict=True)
-    code = plain_text(own, own.where("inline = 'code'"), skip=["svg", "annotation", "annotation-xml"], squeezed=False).withColumnRenamed("text", "code")
-    kept = kept.join(code, ["doc_id", "node_id"], "left").join(tex, ["doc_id", "node_id"], "left").join(drawings, ["doc_id", "node_id"], "left")
-    if items is not None:
-        kept = kept.join(items.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("__item")), ["doc_id", "parent_id"], "left")
-    else:
-        kept = kept.withColumn("__item", F.lit(None).cast("boolean"))
+    apart = own.where(F.col("tag").isin("ul", "ol") | _has(["ltx_tag_item"])).join(items.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+    facts = tex.unionByName(drawings, True).unionByName(codes, True).unionByName(apart.select("doc_id", "node_id", F.lit(True).alias("__item")), True)
+    facts = facts.groupBy("doc_id", "node_id").agg(*[F.max(c).alias(c) for c in ("tex", "markup", "code", "__item")])
+    kept = kept.join(facts, ["doc_id", "node_id"], "left")
     none, empty = F.lit(""), F.array().cast("array<string>")
     anchor = F.coalesce(inline_anchor(F.col("id")), none)
     t = tex_for_markdown(F.coalesce("tex", none), True)
@@ -236,7 +234,7 @@ def inline_markdown(own: DataFrame, tex: DataFrame, drawings: DataFrame, items:
     value = F.coalesce("value", none)
     wanted = F.col("tag").isin([*HEADINGS, "p", "li", "td", "th", "figcaption", "object"]) | F.col("unit") | _has(AUTHOR_CLASSES)
     whole = (F.col("type") == "text") | atom | (F.col("pre") == F.col("post"))
-    cut = F.col("__item").isNotNull() & (F.col("tag").isin("ul", "ol") | _has(["ltx_tag_item"]))
+    cut = F.col("__item")
     rows = kept.select(
         "doc_id", "node_id", "pre", "post", F.when(whole, 0).otherwise(1).alias("what"), F.when(whole, text).alias("text"),
         F.when(link, "[").otherwise(mark).alias("open"), F.when(link, F.concat(F.lit("]("), to, F.lit(")"))).otherwise(mark).alias("shut"),
@@ -293,7 +291,7 @@ def _tables(own: DataFrame, inner: DataFrame, tops: DataFrame) -> DataFrame:
     tall = spans.select("doc_id", F.col("top.node_id").alias("node_id"), F.lit(True).alias("tall")).distinct()
     keys = materialise(keys.join(tall, ["doc_id", "node_id"], "left"), "table_tops")
     high, flat = keys.where("tall"), keys.where("tall is null")
-    raw = high.join(markup(own.drop("cls", "id", "ptag", "value", "ids", "unit", "block", "inline", "slot"), high, TABLE_TAGS), ["doc_id", "node_id"])
+    raw = high.join(markup(own.drop("cls", "id", "value", "ids", "unit", "block", "inline", "slot"), high, TABLE_TAGS), ["doc_id", "node_id"])
     lead = F.when(F.coalesce("caption", F.lit("")) == "", "").otherwise(F.concat(F.lit("*"), "caption", F.lit("*\n\n")))
     out = _blocks(raw, "table", 1, 0, F.col("at"), text=F.concat(lead, "markup"), anchor=F.col("anchor"))
     parts = el.where(F.col("tag").isin(TABLE_PARTS) & F.col("id").isNotNull()).select("doc_id", "pre", "node_id", "id")
@@ -303,7 +301,8 @@ def _tables(own: DataFrame, inner: DataFrame, tops: DataFrame) -> DataFrame:
     inside = pairs_below(parts, flat).where("node is not null").union(itself.select("doc_id", "top", "node"))
     first = inside.groupBy("doc_id", F.col("top.at").alias("at"), F.col("top.anchor").alias("a"), F.col("node.id").alias("id")).agg(F.min("node.pre").alias("p"))
     out = out.union(_blocks(first.where("a is null or a <> id"), "paragraph", 0, F.col("p"), F.col("at"), False, anchor=F.col("id")))
-    shown = cells.where("ptag = 'tr'").join(inner, ["doc_id", "node_id"], "left")
+    in_rows = el.where("tag = 'tr'").select("doc_id", F.col("node_id").alias("parent_id"))
+    shown = cells.join(in_rows, ["doc_id", "parent_id"], "left_semi").join(inner, ["doc_id", "node_id"], "left")
     cell = F.regexp_replace(F.coalesce("inner", F.lit("")), r"(?<!\\)\|", r"\\|")
     wide = F.greatest(F.lit(1), F.when(F.coalesce(attr("colspan"), F.lit("")).rlike(r"^\d{1,3}$"), attr("colspan").cast("int")).otherwise(1))
     row = shown.select("doc_id", F.col("parent_id").alias("node_id"), "ordinal", F.concat(F.array(cell), F.array_repeat(F.lit(""), wide - 1)).alias("cells"))
@@ -455,15 +454,24 @@ def all_blocks(nodes: DataFrame, units: DataFrame | None = None) -> tuple[DataFr
     document without a heading of level 1.
     """
     own = materialise(_marked(nodes, units), "marked")
-    plain = own.drop("cls", "id", "ptag", "value", "ids", "unit", "block", "inline", "slot")
+    plain = own.drop("cls", "id", "value", "ids", "unit", "block", "inline", "slot")
     handlers = own.where("block is not null")
     tops = materialise(not_below(handlers, handlers, strict=True), "tops")
-    tex = materialise(math_source(plain), "tex")
-    drawings = materialise(markup(plain, own.where("tag = 'svg'"), SVG_TAGS), "drawings")
-    lists = materialise(_list_nodes(own, tops), "lists")
-    items = own.where("tag = 'li'").join(lists.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
-    items = materialise(items, "items")
-    inner = materialise(inline_markdown(own, tex, drawings, items), "inline")
+    # what no page holds costs nothing: its part of the plan is left out
+    tests = {"math": F.col("tag") == "math", "svg": F.col("tag") == "svg", "code": F.col("inline") == "code", "tables": F.col("tag") == "table"}
+    tests |= {k: F.col("block") == k for k in ("list", "figure", "equation")} | {"listing": _has(["ltx_listing"]), "pre": F.col("block") == "code"}
+    there = own.agg(*[F.coalesce(F.max(t), F.lit(False)).alias(k) for k, t in tests.items()]).first()
+    nothing = lambda kind: nodes.sparkSession.createDataFrame([], f"doc_id string, node_id long, {kind}")
+    tex = materialise(math_source(plain), "tex") if there["math"] else nothing("tex string")
+    drawings = materialise(markup(plain, own.where("tag = 'svg'"), SVG_TAGS), "drawings") if there["svg"] else nothing("markup string")
+    code = lambda: plain_text(own, own.where("inline = 'code'"), skip=["svg", "annotation", "annotation-xml"], squeezed=False)
+    codes = materialise(code().withColumnRenamed("text", "code"), "codes") if there["code"] else nothing("code string")
+    lists = materialise(_list_nodes(own, tops), "lists") if there["list"] else None
+    items = nothing("pre long")
+    if there["list"]:
+        items = own.where("tag = 'li'").join(lists.select("doc_id", F.col("node_id").alias("parent_id")), ["doc_id", "parent_id"], "left_semi")
+        items = materialise(items, "items")
+    inner = materialise(inline_markdown(own, tex, drawings, codes, items), "inline")
     of = lambda kind: tops.where(F.col("block") == kind)
     with_inner = lambda kind: of(kind).join(inner, ["doc_id", "node_id"]).where("inner <> ''")
 
@@ -478,29 +486,41 @@ def all_blocks(nodes: DataFrame, units: DataFrame | None = None) -> tuple[DataFr
         _blocks(with_inner("paragraph"), "paragraph", text=F.col("inner"), anchor=anchor),
         _blocks(walked.unionByName(of("list")).where("id is not null"), "paragraph", -1, anchor=anchor, markdown=False),
     ]
-    code = of("code").drop("text").join(plain_text(own, of("code"), squeezed=False), ["doc_id", "node_id"], "left")
-    solid = strip(F.coalesce("text", F.lit(""))) != ""
-    parts.append(_blocks(code.where(solid), "code", text=F.col("text"), anchor=anchor, markdown=False))
-    parts.append(_blocks(code.where(~solid & F.col("id").isNotNull()), "paragraph", anchor=anchor, markdown=False))
-    inside = pairs_below(own.where("tag = 'svg'").join(drawings, ["doc_id", "node_id"]).select("doc_id", "pre", "markup"), of("code").select("doc_id", "pre", "post")).where("node is not null")
-    parts.append(_blocks(inside, "figure", 1, F.col("node.pre"), F.col("top.pre"), text=F.col("node.markup")))
-    math = of("math").join(tex.where("tex <> ''"), ["doc_id", "node_id"])
-    display = F.lower(F.coalesce(attr("display"), F.lit(""))) == "block"
-    short = tex_for_markdown(F.col("tex"), True)
-    parts.append(_blocks(math.where(display), "equation", text=tex_for_markdown(F.col("tex"), False), anchor=anchor, markdown=False))
-    parts.append(_blocks(math.where(~display), "paragraph", text=F.when(is_safe_math(short), F.concat(F.lit("$"), short, F.lit("$"))).otherwise(inline_code(short)), anchor=anchor))
-    parts.append(_blocks(of("svg").join(drawings, ["doc_id", "node_id"]).where("markup <> ''"), "figure", text=F.col("markup"), anchor=anchor))
-    in_items, item_listings = _items(own, inner, drawings, lists, items)
-    in_figures, figure_listings, figure_tables = _figures(own, inner, drawings, of("figure"))
-    listings = of("listing").withColumns({"anchor": anchor, "at": F.col("pre"), "turn": F.lit(0), "sub": F.lit(0).cast("long")}).select(*_LISTING)
-    tables = of("table").withColumns({"anchor": anchor, "caption": F.lit(None).cast("string"), "at": F.col("pre")}).select(*_TABLE)
+    if there["pre"]:
+        code = of("code").drop("text").join(plain_text(own, of("code"), squeezed=False), ["doc_id", "node_id"], "left")
+        solid = strip(F.coalesce("text", F.lit(""))) != ""
+        parts.append(_blocks(code.where(solid), "code", text=F.col("text"), anchor=anchor, markdown=False))
+        parts.append(_blocks(code.where(~solid & F.col("id").isNotNull()), "paragraph", anchor=anchor, markdown=False))
+        inside = pairs_below(own.where("tag = 'svg'").join(drawings, ["doc_id", "node_id"]).select("doc_id", "pre", "markup"), of("code").select("doc_id", "pre", "post")).where("node is not null")
+        parts.append(_blocks(inside, "figure", 1, F.col("node.pre"), F.col("top.pre"), text=F.col("node.markup")))
+    if there["math"]:
+        math = of("math").join(tex.where("tex <> ''"), ["doc_id", "node_id"])
+        display = F.lower(F.coalesce(attr("display"), F.lit(""))) == "block"
+        short = tex_for_markdown(F.col("tex"), True)
+        parts.append(_blocks(math.where(display), "equation", text=tex_for_markdown(F.col("tex"), False), anchor=anchor, markdown=False))
+        parts.append(_blocks(math.where(~display), "paragraph", text=F.when(is_safe_math(short), F.concat(F.lit("$"), short, F.lit("$"))).otherwise(inline_code(short)), anchor=anchor))
+    if there["svg"]:
+        parts.append(_blocks(of("svg").join(drawings, ["doc_id", "node_id"]).where("markup <> ''"), "figure", text=F.col("markup"), anchor=anchor))
+    listings = [of("listing").withColumns({"anchor": anchor, "at": F.col("pre"), "turn": F.lit(0), "sub": F.lit(0).cast("long")}).select(*_LISTING)]
+    tables = [of("table").withColumns({"anchor": anchor, "caption": F.lit(None).cast("string"), "at": F.col("pre")}).select(*_TABLE)]
     # every group is written by itself, which keeps plans small
-    groups = [
-        reduce(DataFrame.union, parts), reduce(DataFrame.union, in_items), reduce(DataFrame.union, in_figures), _equations(own, tex, of("equation")),
-        _listings(own, tex, materialise(listings.union(item_listings).union(figure_listings), "listings")),
-        _tables(own, inner, materialise(tables.union(figure_tables), "tables")),
-    ]
-    out = reduce(DataFrame.union, [materialise(g, "block_group") for g in groups])
+    groups = [materialise(reduce(DataFrame.union, parts), "block_group")]
+    if there["list"]:
+        found, listing = _items(own, inner, drawings, lists, items)
+        groups.append(materialise(reduce(DataFrame.union, found), "block_group"))
+        listings.append(listing)
+    if there["figure"]:
+        found, listing, table = _figures(own, inner, drawings, of("figure"))
+        groups.append(materialise(reduce(DataFrame.union, found), "block_group"))
+        listings.append(listing)
+        tables.append(table)
+    if there["equation"]:
+        groups.append(materialise(_equations(own, tex, of("equation")), "block_group"))
+    if there["listing"]:
+        groups.append(materialise(_listings(own, tex, materialise(reduce(DataFrame.union, listings), "listings")), "block_group"))
+    if there["tables"]:
+        groups.append(materialise(_tables(own, inner, materialise(reduce(DataFrame.union, tables), "tables")), "block_group"))
+    out = reduce(DataFrame.union, groups)
 
     order = W.partitionBy("doc_id").orderBy("at", "turn", "sub", "kind", "anchor")
     numbered = materialise(out.withColumn("pos", F.row_number().over(order)).drop("at", "turn", "sub"), "blocks")
