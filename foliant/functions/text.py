@@ -542,10 +542,8 @@ def layout_placeholder(source: Column) -> Column:
     """FN50: filler of 45 % of the characters, two at least, starting at a digest's offset."""
     filler = "訳文配置確認用"
     n = F.greatest(F.lit(2), F.ceil(F.length(source) * 0.45)).cast("int")
-    first = F.conv(F.substring(F.sha2(source, 256), 1, 2), 16, 10).cast("int")
-    return F.array_join(F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.lit(filler), (first + i) % len(filler) + 1, F.lit(1))
-    ), "")
+    first = F.conv(F.substring(F.sha2(source, 256), 1, 2), 16, 10).cast("int") % len(filler)
+    return F.substring(F.repeat(F.lit(filler), F.ceil((n + first) / len(filler)).cast("int")), first + 1, n)
 
 
 def request_content(prompt: Column) -> Column:

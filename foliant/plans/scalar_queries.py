@@ -278,7 +278,8 @@ def sanitized_logs(spark, sf):
 @query("""select doc_id, cast(greatest(2, ceil(length(text) * 0.45)) as integer) as n, substr('訳文配置確認用', cast(('0x' || substr(sha256(text), 1, 2)) as integer) % 7 + 1, 1) as first from documents""")
 def placeholders(spark, sf):
     p = X.layout_placeholder(F.col("text"))
-    return _docs(spark, sf).select("doc_id", F.length(p).alias("n"), F.substring(p, 1, 1).alias("first"))
+    # a null text has two characters, of which no digest tells the first
+    return _docs(spark, sf).select("doc_id", F.coalesce(F.length(p), F.lit(2)).alias("n"), F.substring(p, 1, 1).alias("first"))
 
 
 @query("select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as content from documents where not contains(text, 'Input:')")

@@ -41,3 +41,16 @@ def test_entry_imports_without_the_optional_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['foliant.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 40 and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def _same_as_sql(spark, tmp_path, name, texts):
+    con = duckdb.connect()
+    con.register("d", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    con.execute(f"copy (select doc_id, cast(text as varchar) as text from d) to '{tmp_path}/documents.parquet'")
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got, want = Q.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(Q.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and _rows(got) == _rows(want)
+
+
+def test_placeholders_of_odd_texts(spark, tmp_path):
+    _same_as_sql(spark, tmp_path, "placeholders", [None, "", " ", "a", "x" * 100, "\n\n", "é" * 41])

@@ -1,5 +1,8 @@
 """Scalar functions, one value a row."""
 
+import hashlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,13 @@ def test_addresses_close_up_however_many_spaces(spark):
     long = "see https : // a.org" + "".join(f"/ p{i}" for i in range(30)) + " end"
     assert one(long) == "see https://a.org" + "".join(f"/p{i}" for i in range(30)) + " end"
     assert one("https://a .org and B / c") == "https://a.org and B / c" and one("a. b https://x.org/ Y") == "a. b https://x.org/ Y"
+
+
+def test_filler_takes_time_in_proportion_to_the_text(spark):
+    texts = ["", "x", "ab\n", "é" * 20, "x" * 21, *(c * 7 for c in "abcdefgh"), "ü-" * 150_000]
+    begun = time.time()
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.layout_placeholder(F.col("t")).alias("p")).collect()
+    assert time.time() - begun < 30  # a digest for every character of the filler takes minutes
+    for t, row in zip(texts, got):
+        n, at = max(2, -(-len(t) * 45 // 100)), hashlib.sha256(t.encode()).digest()[0]
+        assert row.p == "".join("訳文配置確認用"[(at + i) % 7] for i in range(n))
