@@ -13,15 +13,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import anchor_id, code_fence, escape_markdown, is_blank, is_safe_asset_path, is_safe_display_math, preferred_text
+from ..functions.text import anchor_core, code_fence, escape_markdown, is_blank, is_safe_asset_path, is_safe_display_math, preferred_text
 
 KINDS = ["heading", "paragraph", "reference", "list_item", "figure", "table", "equation", "code"]
 
 
 def unique_anchors(blocks: DataFrame, order: str = "pos") -> DataFrame:
     """FN37, WN17: the k-th repeat of an anchor within a document gets ``-k``."""
-    base = anchor_id(F.col("anchor"))
-    b = blocks.withColumn("__base", F.when(~is_blank(F.col("anchor")), base))
+    b = blocks.withColumn("__base", anchor_core(F.col("anchor")))  # once a block; only what is left empty is looked at again
+    b = b.withColumn("__base", F.when(F.col("__base") == "", F.when(~is_blank(F.col("anchor")), "block")).otherwise(F.col("__base")))
     k = F.row_number().over(W.partitionBy("doc_id", "__base").orderBy(order))
     return b.withColumn("anchor", F.when(k == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), k))).drop("__base")
 

@@ -272,7 +272,8 @@ def canonical_furniture(spark, sf):
 def anchor_suffix(spark, sf):
     from ..operators import markdown
 
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("anchor"), F.col("doc_id").alias("pos"))
+    # the sign in front is dropped again; with it, no document is without an anchor
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("#"), F.coalesce("text", F.lit(""))).alias("anchor"), F.col("doc_id").alias("pos"))
     return markdown.unique_anchors(d.withColumnRenamed("doc_id", "id").withColumn("doc_id", F.lit("all"))).select(F.col("id").alias("doc_id"), "anchor")
 
 

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import duckdb
 import pandas as pd
@@ -54,3 +55,11 @@ def _same_as_sql(spark, tmp_path, name, texts):
 
 def test_placeholders_of_odd_texts(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "placeholders", [None, "", " ", "a", "x" * 100, "\n\n", "é" * 41])
+
+
+def test_anchors_of_odd_texts(spark, tmp_path):
+    # blank texts have an anchor, too; a long run of spaces inside a text takes time in proportion
+    run = "a" + " " * 200_000 + "b"
+    begun = time.time()
+    _same_as_sql(spark, tmp_path, "anchor_suffix", [None, "", " \n", "--", "block", "é à", "Ab c", " Ab\tc!", "_.:-x", "x٣y", run, run, None])
+    assert time.time() - begun < 30

@@ -162,3 +162,13 @@ def test_filler_takes_time_in_proportion_to_the_text(spark):
     for t, row in zip(texts, got):
         n, at = max(2, -(-len(t) * 45 // 100)), hashlib.sha256(t.encode()).digest()[0]
         assert row.p == "".join("訳文配置確認用"[(at + i) % 7] for i in range(n))
+
+
+def test_strip_and_blank_by_runs(spark):
+    texts = ["", " ", "a", " a", "a ", "  a b 　", "\n\na\r\n\n", "a  ", "  \u0085 ", "a  b  c  ", "\U0001f600 ", "​", "\x1c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        X.strip(F.col("t")).alias("s"), X.is_blank(F.col("t")).alias("b"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("old")).collect()
+    assert all(r.s == r.old and r.b == (r.old == "") for r in rows)
+    begun = time.time()
+    long = spark.createDataFrame([("a" + " " * 200_000 + "b ",)], "t string").select(F.length(X.strip(F.col("t"))), X.is_blank(F.lit(None).cast("string"))).first()
+    assert tuple(long) == (200_002, True) and time.time() - begun < 20
