@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,21 +65,30 @@ def match_visuals(gold: DataFrame, candidate: DataFrame) -> DataFrame:
     """JN28: gold visuals in order each take the unused candidate of their page, kind and label with most overlap."""
     c = candidate.select("doc_id", "page", "kind", F.lower(F.coalesce("label", F.lit(""))).alias("__label"), F.col("object_id").alias("candidate_id"), F.col("bbox_norm").alias("__box"))
     g = gold.select("doc_id", "page", "kind", "object_id", "ordinal", F.lower(F.coalesce("label", F.lit(""))).alias("__own"), "bbox_norm")
-    pairs = g.join(c, ["doc_id", "page", "kind"]).where("__own = '' or __own = __label").select(
+    # a candidate stands under its label and under none, where visuals without a label look; so the label is a join key
+    c = c.withColumn("__own", F.explode(F.array_distinct(F.array("__label", F.lit(""))))).drop("__label")
+    pairs = g.join(c, ["doc_id", "page", "kind", "__own"]).select(
         "doc_id", "page", "object_id", "ordinal", "candidate_id", G.iou(F.col("bbox_norm"), F.col("__box")).alias("iou")
     )
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for _, own in rows.sort_values(["ordinal", "object_id"]).groupby("object_id", sort=False):
-            left = own[~own["candidate_id"].isin(used)].sort_values(["iou", "candidate_id"], ascending=[False, True])
-            if len(left):
-                used.add(left.iloc[0]["candidate_id"])
-                out.append(left.iloc[0])
-        return pd.DataFrame(out, columns=list(rows.columns))
-
-    return pairs.groupBy("doc_id", "page").applyInPandas(page, pairs.schema)
+    best = F.desc_nulls_last(F.nanvl("iou", F.lit(None).cast("double")))
+    rows = pairs.repartition("doc_id", "page").sortWithinPartitions(
+        "doc_id", "page", F.asc_nulls_last("ordinal"), F.asc_nulls_last("object_id"), best, F.asc_nulls_last("candidate_id"))
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a page stand together, by gold visual, its best candidate first; only the ids of one page are held."""
+        page, met, used = None, set(), set()
+        for batch in batches:
+            keep = []
+            for doc, at, own, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "object_id", "candidate_id"))):
+                if (doc, at) != page:
+                    page, met, used = (doc, at), set(), set()
+                keep.append(own is not None and own not in met and other not in used)
+                if keep[-1]:
+                    met.add(own)
+                    used.add(other)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(greedy, pairs.schema)
 
 
 def evaluate(gold: dict[str, DataFrame], candidate: dict[str, DataFrame]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import html as entities
+import random
 import re
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -435,3 +437,38 @@ def test_units_are_headings_and_paragraphs_of_the_article(spark):
     n = html.node_table(spark.createDataFrame([("d", page), ("e", None)], "doc_id string, html string"))
     got = html.unit_nodes(n).orderBy("unit_id").collect()
     assert [(r.unit_id, r.kind, r.source_text) for r in got] == [("html-0001", "heading", "A & b"), ("html-0002", "paragraph", "one two"), ("html-0003", "paragraph", "last")]
+
+
+def test_visuals_take_the_best_unused_candidate(spark):
+    rng = random.Random(7)
+    box = lambda: tuple(sorted(rng.randrange(8) / 8 for _ in range(2)) + sorted(rng.randrange(8) / 8 for _ in range(2)))
+    side = lambda n: [("d%d" % rng.randrange(2), rng.randrange(3), rng.choice(["figure", "table"]), rng.choice([None, "", "Fig 1", "FIG 1", "Fig 2"]), i, rng.randrange(9), box()) for i in range(n)]
+    gold, other = side(80), side(60)
+    schema = "doc_id string, page int, kind string, label string, object_id long, ordinal int, b struct<x0:double,x1:double,y0:double,y1:double>"
+    frame = lambda r: spark.createDataFrame(r, schema).withColumn("bbox_norm", F.struct("b.x0", "b.y0", "b.x1", "b.y1")).drop("b")
+
+    def iou(a, b):
+        both = max(0, min(a[1], b[1]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[2], b[2]))
+        union = (a[1] - a[0]) * (a[3] - a[2]) + (b[1] - b[0]) * (b[3] - b[2]) - both
+        return both / union if union > 0 else 0.0
+
+    want, used = set(), set()
+    for g in sorted(gold, key=lambda g: (g[5], g[4])):
+        own = (g[3] or "").lower()
+        fits = [c for c in other if c[:3] == g[:3] and own in ("", (c[3] or "").lower()) and c[4] not in used]
+        if fits:
+            best = min(fits, key=lambda c: (-iou(g[6], c[6]), c[4]))
+            used.add(best[4])
+            want.add((g[0], g[1], g[4], best[4], iou(g[6], best[6])))
+    got = evaluation.match_visuals(frame(gold), frame(other)).select("doc_id", "page", "object_id", "candidate_id", "iou").collect()
+    assert len(got) == len(want) > 20 and {tuple(r) for r in got} == want
+
+
+def test_a_page_of_many_labelled_visuals_takes_time_in_proportion(spark):
+    v = spark.range(20_000).select(
+        F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit("figure").alias("kind"), F.concat(F.lit("Figure "), F.col("id").cast("string")).alias("label"),
+        F.col("id").alias("object_id"), F.col("id").alias("ordinal"), G.rect(0, 0, 1, 1).alias("bbox_norm"))
+    begun = time.time()
+    m = evaluation.match_visuals(v, v.withColumn("label", F.upper("label")))
+    assert m.agg(F.count_if(F.expr("object_id = candidate_id and iou = 1.0")), F.count("*")).first()[:] == (20_000, 20_000)
+    assert time.time() - begun < 20
